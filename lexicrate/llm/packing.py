@@ -37,7 +37,7 @@ from .shared import documents, staged
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 ROWS_PER_SALT = 500
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_benchmark_decontamination
 from .packing import op1_best_fit_packing
+from .token_counts import op6_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_token_counts": op6_token_counts,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -46,7 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own estimate of the input's size; costs no job."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(min(int(size.toString()), 1 << 60))
+    return min(int(str(size)), 1 << 60)
 
 
 def buckets_for(df: DataFrame, bytes_each: int, least: int = 64) -> int:

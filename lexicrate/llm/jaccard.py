@@ -13,9 +13,9 @@ sets have to do with each other:
 * *Index skipping*: the prefix of a set's rarest shared shingles is its index
   entry.  The list of a shingle is cut into blocks by set size; only blocks whose
   sizes can link meet, and positions in the lists bound the overlap.
-* *Derived answers*: a set is first compared with the one pivot that it shares
-  most entries with.  Sets that link to a pivot take over its component, and only
-  pairs of sets from different components are compared afterwards.
+* *Derived answers*: a set is first compared with a few pivots, those that it
+  shares most entries with.  Sets that link to a pivot take over its component,
+  and only pairs of sets from different components are compared afterwards.
 
 Hashing and set algebra run in numpy over packed blocks; Spark deals out, groups
 and joins them.  64-bit hashes stand for shingles.
@@ -27,7 +27,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import least_labels
@@ -35,6 +35,9 @@ from .shared import TextChunks, WordHasher, buckets_for, combine, documents, mix
 
 WIDTH = 5
 NO_ID = (1 << 63) - 1
+#: Pivots drawn in a list, how many of them a set is compared with, and how often.
+#: They only steer the order of the work: what they leave open is compared in full.
+PIVOTS, COMPARED, TURNS = 4, 6, 2
 
 PACKED = "bucket int, chunk long, keys binary, items binary, meta binary"
 SHARED = "chunk long, keys binary, items binary, levels binary, meta binary"
@@ -295,6 +298,46 @@ def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of the lists on which different components meet, with their component."""
+    placed = entries.join(labels, "node")
+    meeting = (
+        placed.groupBy("key")
+        .agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        .where("low < high")
+        .select("key")
+    )
+    return staged(placed.join(meeting, "key", "left_semi"), "open")
+
+
+def _pivot_pairs(left: DataFrame, turn: int) -> DataFrame:
+    """Every set with a few pivots of other components, those most in common with it."""
+    drawn = [
+        F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)), "node", "value"))
+        for i in range(PIVOTS)
+    ]
+    pivots = (
+        left.groupBy("key", "block")
+        .agg(
+            F.max("value").alias("high"), F.min("value").alias("low"),
+            F.array_distinct(F.array(*drawn)).alias("drawn"),
+        )
+        .where("low < high")
+        .select("key", "block", F.explode("drawn").alias("d"))
+        .select("key", "block", F.col("d.node").alias("pivot"), F.col("d.value").alias("other"))
+    )
+    by_common = Window.partitionBy("node").orderBy(F.desc("common"), "pivot")
+    return (
+        left.join(pivots, ["key", "block"])
+        .where("value != other")
+        .groupBy("node", "pivot").agg(F.count("*").alias("common"))
+        .withColumn("rank", F.row_number().over(by_common))
+        .where(F.col("rank") <= COMPARED)
+        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        .distinct()
+    )
+
+
 def jaccard_classes(
     df: DataFrame, *, width: int = WIDTH, percent: int = 80, bucket_bytes: int = 256 << 10
 ) -> DataFrame:
@@ -345,31 +388,17 @@ def jaccard_classes(
         ),
         "entries",
     )
-    # Where a list has one node only, there is nothing to meet.
-    pivots = entries.groupBy("key", "block").agg(
-        F.min(F.struct("n", "node")).alias("p"), F.max("node").alias("last"),
-        F.min("node").alias("first"),
-    ).where("first < last").select("key", "block", F.col("p.node").alias("pivot"))
-    best = (
-        entries.join(pivots, ["key", "block"])
-        .where("node != pivot")
-        .groupBy("node", "pivot").agg(F.count("*").alias("common"))
-        .groupBy("node").agg(F.max(F.struct("common", "pivot")).alias("best"))
-        .select(F.col("best.pivot").alias("a"), F.col("node").alias("b"))
-    )
-    links = staged(_linked(staged(best, "pairs"), nodes, percent), "links")
-    labels = least_labels(nodes.select("node", "value"), links)
-    labels = staged(labels, "components")
-
-    # What is left: lists on which different components meet.
-    placed = entries.join(labels, "node")
-    open_lists = (
-        placed.groupBy("key")
-        .agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        .where("low < high")
-        .select("key")
-    )
-    left = staged(placed.join(open_lists, "key", "left_semi"), "open")
+    labels, links = nodes.select("node", "value"), None
+    for turn in range(TURNS):
+        left = _open_lists(entries, labels)
+        if left.isEmpty():
+            break
+        found = staged(_linked(staged(_pivot_pairs(left, turn), "pairs"), nodes, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = staged(least_labels(nodes.select("node", "value"), links), "components")
+
+    # What is left: pairs of sets from different components, all of them.
+    left = _open_lists(entries, labels)
     one = left.select(
         "key", "block", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "s", "place", "value"))
     )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .class_lm import op8_class_lm_scoring
 from .decontaminate import op10_benchmark_decontamination
+from .jaccard import op5_ngram_jaccard_join
 from .packing import op1_best_fit_packing
 from .token_counts import op6_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
+    "op8_class_lm_scoring": op8_class_lm_scoring,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 

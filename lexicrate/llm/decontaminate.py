@@ -143,7 +143,7 @@ def decontaminate(
 ) -> DataFrame:
     """Words of ``docs(doc_id, text)`` that stand in a window of ``items(item_id, text)``.
 
-    Returns one row per document: doc_id, n_words, n_hit (words in hit windows),
+    Returns one row per document: doc_id, text_hash (xxhash64), n_words, n_hit (words in hit windows),
     n_items and item_ids (items with a window in it), spans (start, end) and
     contaminated.  Null or empty text has no words, and an item without words
     never hits.  Repeated rows and null ids stay rows of their own.  Other
@@ -250,6 +250,7 @@ def decontaminate(
     out = joined.withColumn("n_hit", _covered(F.col("spans")))
     return out.select(
         "doc_id",
+        "text_hash",
         "n_words",
         "n_hit",
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),

@@ -88,6 +88,18 @@ def _set_marks(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
         )
 
 
+def _ascending(values: np.ndarray) -> bytes:
+    """Ascending numbers as their differences, in a byte each where that does."""
+    steps = np.diff(values, prepend=0)
+    kind = np.uint8 if not len(steps) or steps.max() < 256 else np.uint32
+    return steps.astype(kind).tobytes()
+
+
+def _from_steps(blob: bytes, n: int) -> np.ndarray:
+    kind = np.uint8 if len(blob) == n else np.uint32
+    return np.cumsum(np.frombuffer(blob, kind), dtype=np.int64)
+
+
 def _pack(df: DataFrame, bits: int, width: int) -> DataFrame:
     """The shingles of all sets, packed by chunk of text and bucket of hash.
 
@@ -112,11 +124,13 @@ def _pack(df: DataFrame, bits: int, width: int) -> DataFrame:
                 _, first, item = np.unique(
                     mix64(mark) ^ size.astype(np.uint64), return_index=True, return_inverse=True
                 )
+                by_row = np.argsort(first)  # items in the order of their first rows
+                first, item = first[by_row], np.argsort(by_row)[item]
                 keep = np.isin(rows, first)
                 keys, items = keys[keep], item[rows[keep]]
                 bucket = (keys >> np.uint64(64 - bits)).astype(np.uint16)
                 order = np.argsort(bucket, kind="stable")
-                keys, items, bucket = keys[order], items[order].astype(np.uint32), bucket[order]
+                keys, items, bucket = keys[order], items[order], bucket[order]
                 there, at = np.unique(bucket, return_index=True)
                 at = np.append(at, len(keys))
                 meta = np.concatenate(
@@ -126,7 +140,7 @@ def _pack(df: DataFrame, bits: int, width: int) -> DataFrame:
                     [*map(int, there), (1 << bits) + chunk % 64],
                     [chunk] * (len(there) + 1),
                     [keys[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)] + [None],
-                    [items[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)] + [None],
+                    [_ascending(items[a:b]) for a, b in zip(at, at[1:], strict=False)] + [None],
                     [None] * len(there) + [meta.tobytes()],
                 )
                 types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -161,7 +175,7 @@ def _shared(table):
             if more.any():
                 row = (
                     chunks[k], keys[a:b][more].tobytes(),
-                    np.frombuffer(items[k], np.uint32)[more].tobytes(),
+                    _ascending(_from_steps(items[k], b - a)[more]),
                     level[a:b][more].tobytes(), None,
                 )
                 for column, value in zip(out, row, strict=True):
@@ -192,7 +206,10 @@ def _items(percent: int):
         join = lambda name, kind: np.concatenate(
             [np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in parts)]
         )
-        keys, owner, level = join("keys", np.uint64), join("items", np.uint32), join("levels", np.uint8)
+        keys, level = join("keys", np.uint64), join("levels", np.uint8)
+        owner = np.concatenate(
+            [np.zeros(0, np.int64), *(_from_steps(r["items"], len(r["levels"])) for r in parts)]
+        )
         s = np.bincount(owner, minlength=n_items)
         able = (size > 0) & (100 * s >= percent * size)
         keep = able[owner] if len(owner) else np.zeros(0, bool)
@@ -312,8 +329,15 @@ def _open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _pivot_pairs(left: DataFrame, turn: int) -> DataFrame:
     """Every set with a few pivots of other components, those most in common with it."""
+    # Sets with little of their own lie in the middle of a group: most link to them.
+    # Each draw looks at another half of the list.
     drawn = [
-        F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)), "node", "value"))
+        F.min(
+            F.struct(
+                F.pmod(F.xxhash64("node", F.lit(turn * PIVOTS + i)), F.lit(2)),
+                F.col("n") - F.col("s"), "node", "value",
+            )
+        )
         for i in range(PIVOTS)
     ]
     pivots = (
@@ -408,15 +432,19 @@ def jaccard_classes(
         (F.col("block")).alias("own"),
         *(F.col(c).alias(f"{c}2") for c in ("node", "n", "s", "place", "value")),
     )
-    at_most = F.least(F.col("s1") - F.col("place1"), F.col("s2") - F.col("place2"))
     meet = one.join(two, ["key", "block"]).where(
         (F.col("value1") != F.col("value2"))
         & ((F.col("own") != F.col("block")) | (F.col("node1") < F.col("node2")))
-        & (at_most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
     )
-    pairs = meet.select(
-        F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")
-    ).distinct()
+    # What lies behind the shorter of two entries in the order of keys is less than
+    # percent of its set; all that is before counts among the common entries.
+    behind = F.ceil(F.greatest("n1", "n2") * percent / 100) - 1
+    pairs = (
+        meet.groupBy(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+        .agg(F.count("*").alias("common"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+        .where((F.col("common") + behind) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
+        .select("a", "b")
+    )
     more = staged(_linked(staged(pairs, "pairs"), nodes, percent), "links")
     if not more.isEmpty():
         labels = staged(

@@ -1,0 +1,53 @@
+"""Lexical retrieval and text analytics on Spark DataFrames."""
+
+from .config import (
+    Adaptive,
+    Atire,
+    Bm25F,
+    Bm25L,
+    Bm25T,
+    BlockMaxWand,
+    BM25Config,
+    DuplicateCap,
+    ExhaustiveDAAT,
+    ExhaustiveTAAT,
+    ExpansionConfig,
+    FieldWeight,
+    FusionConfig,
+    Length,
+    Lowercase,
+    MaxScore,
+    Ngram,
+    NoOp,
+    Okapi,
+    PersistConfig,
+    Plus,
+    Porter,
+    Regex,
+    Snowball,
+    Stopwords,
+    TfIdf,
+    TokenizerConfig,
+    UnicodeWord,
+    Wand,
+    Whitespace,
+)
+from .index import BM25Index, SearchHit
+from .operators.metrics import (
+    LatencyProfiler,
+    average_precision_at_k,
+    mrr,
+    ndcg_at_k,
+    precision_at_k,
+    recall_at_k,
+)
+from .operators.search import BooleanQuery, PhraseQuery, WeightedQuery
+
+__all__ = [
+    "Adaptive", "Atire", "Bm25F", "Bm25L", "Bm25T", "BlockMaxWand", "BM25Config", "BM25Index",
+    "BooleanQuery", "DuplicateCap", "ExhaustiveDAAT", "ExhaustiveTAAT", "ExpansionConfig",
+    "FieldWeight", "FusionConfig", "LatencyProfiler", "Length", "Lowercase", "MaxScore", "Ngram",
+    "NoOp", "Okapi", "PersistConfig", "PhraseQuery", "Plus", "Porter", "Regex", "SearchHit",
+    "Snowball", "Stopwords", "TfIdf", "TokenizerConfig", "UnicodeWord", "Wand", "WeightedQuery",
+    "Whitespace", "average_precision_at_k", "mrr", "ndcg_at_k", "precision_at_k", "recall_at_k",
+]

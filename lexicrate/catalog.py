@@ -5,6 +5,448 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import catalog_sql as sql
+from .config import (
+    ALL_SCORERS,
+    BlockMaxWand,
+    DuplicateCap,
+    ExhaustiveDAAT,
+    ExhaustiveTAAT,
+    Length,
+    Lowercase,
+    MaxScore,
+    Ngram,
+    Okapi,
+    Regex,
+    Setting,
+    Snowball,
+    Stopwords,
+    TfIdf,
+    TokenizerConfig,
+    UnicodeWord,
+    Wand,
+    Whitespace,
+)
+from .functions.analysis import analyze
+from .operators import expansion, fusion
+from .operators.metrics import evaluate, percentile_column
+from .operators.search import (
+    BooleanQuery,
+    PhraseQuery,
+    bag_of_words,
+    document_vector,
+    query_vector,
+    scored,
+    search,
+    search_boolean,
+    search_phrase,
+    top_k,
+    weighted,
+)
+from .operators.tables import (
+    blocks,
+    corpus_stats,
+    document_tokens,
+    occurrences,
+    postings,
+    term_stats,
+    with_term_ids,
+)
+from .plans.reports import recall_degradation, variant_comparison
+from .plans.strategies import budgeted, pruned, retrieve
+from .sources.oplog import fold
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = dict(sql.ORACLES)
+
+PROBE = [("that", 1.0), ("was", 1.0), ("for", 2.0)]
+TOP = 50
+
+
+def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokens_of(spark: SparkSession, sf_dir: str, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
+    docs = document_tokens(table(spark, sf_dir).select("doc_id", "text"), config)
+    return docs.select("doc_id", "tokens", "doc_len").persist()
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+# -- search: the flagship comes first ----------------------------------------------
+
+
+def _score_query(scoring: Setting) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = tokens_of(spark, sf_dir)
+        found = search(docs, weighted(spark, PROBE), scoring, TOP)
+        return found.select("rank", "doc_id", "score")
+
+    return run
+
+
+for _scoring in ALL_SCORERS:
+    QUERIES[f"score_{_scoring.tag.lower()}"] = _score_query(_scoring)
+
+
+@query("search_batch_benchmark")
+def _batch(spark, sf_dir):
+    docs = tokens_of(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search(docs, bag_of_words(items), Okapi(), 10).select("query_id", "rank", "doc_id", "score")
+
+
+def _boolean(name: str, q: BooleanQuery) -> None:
+    QUERIES[name] = lambda spark, sf_dir: search_boolean(
+        tokens_of(spark, sf_dir), q, Okapi(), TOP
+    ).select("rank", "doc_id", "score")
+
+
+_boolean("search_boolean_must", BooleanQuery(["that", "was"], ["for"]))
+_boolean("search_boolean_should", BooleanQuery([], ["que", "was"]))
+_boolean("search_boolean_must_not", BooleanQuery(["that", "was"], [], ["with"]))
+_boolean("search_boolean_unknown_must", BooleanQuery(["that", "no_such_term"], ["that"]))
+_boolean("search_boolean_only_must_not", BooleanQuery([], [], ["that"]))
+
+
+def _phrase(name: str, q: PhraseQuery) -> None:
+    QUERIES[name] = lambda spark, sf_dir: search_phrase(
+        tokens_of(spark, sf_dir), q, Okapi(), TOP
+    ).select("rank", "doc_id", "score")
+
+
+_phrase("search_phrase_w1", PhraseQuery(["that", "was"], 1))
+_phrase("search_phrase_w5", PhraseQuery(["for", "that", "was"], 5))
+_phrase("search_phrase_repeat", PhraseQuery(["que", "que"], 0))
+
+
+@query("search_weighted")
+def _weighted(spark, sf_dir):
+    terms = weighted(spark, [("that", 2.0), ("that", 0.5), ("was", -1.0), ("for", 1.25), ("The", 3.0)])
+    return search(tokens_of(spark, sf_dir), terms, Okapi(), TOP).select("rank", "doc_id", "score")
+
+
+# -- strategies ----------------------------------------------------------------------
+
+
+def _strategy(name: str, strategy: Setting, scoring: Setting = Okapi()) -> None:
+    QUERIES[name] = lambda spark, sf_dir: retrieve(
+        tokens_of(spark, sf_dir), weighted(spark, PROBE), strategy, scoring, TOP
+    ).select("rank", "doc_id", "score")
+
+
+_strategy("strat_daat_topk", ExhaustiveDAAT())
+_strategy("strat_taat_topk", ExhaustiveTAAT())
+_strategy("strat_wand_topk", Wand())
+_strategy("strat_bmw_topk", BlockMaxWand())
+_strategy("strat_maxscore_topk", MaxScore())
+_strategy("strat_maxscore_tfidf", MaxScore(), TfIdf())
+
+
+@query("strat_pruned_topk")
+def _pruned(spark, sf_dir):
+    return pruned(tokens_of(spark, sf_dir), weighted(spark, PROBE), Okapi(), TOP).select(
+        "rank", "doc_id", "score"
+    )
+
+
+@query("strat_wand_walk")
+def _walk(spark, sf_dir):
+    found = budgeted(tokens_of(spark, sf_dir), weighted(spark, PROBE), Wand(), Okapi(), TOP)
+    return found.select("rank", "doc_id", "score")
+
+
+@query("strat_bmw_budget")
+def _budget(spark, sf_dir):
+    found = budgeted(tokens_of(spark, sf_dir), weighted(spark, PROBE), BlockMaxWand(200), Okapi(), 10)
+    return found.select("rank", "doc_id", "score", "scored_docs")
+
+
+# -- analysis ------------------------------------------------------------------------
+
+
+def _vocabulary(name: str, config: TokenizerConfig) -> None:
+    def run(spark, sf_dir):
+        docs = analyze(table(spark, sf_dir).select("doc_id", "text"), config)
+        return (
+            docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        )
+
+    QUERIES[name] = run
+
+
+def _only(tokenizer: Setting, *filters: Setting) -> TokenizerConfig:
+    return TokenizerConfig(tokenizer, filters)
+
+
+_vocabulary("tok_whitespace_counts", _only(Whitespace()))
+_vocabulary("tok_regex_counts", _only(Regex("[A-Za-z]+"), Lowercase()))
+_vocabulary("tok_unicode_counts", _only(UnicodeWord(), Lowercase()))
+_vocabulary("tok_char_ngrams", _only(Ngram(2, 3, "Character")))
+_vocabulary("tok_word_ngrams", _only(Ngram(2, 3, "Word"), Lowercase()))
+_vocabulary("tok_pipeline_default", TokenizerConfig())
+for _lang in ("en", "fr", "de", "es"):
+    _vocabulary(f"flt_stopwords_{_lang}", _only(Whitespace(), Lowercase(), Stopwords(_lang)))
+_vocabulary("flt_length", _only(Whitespace(), Lowercase(), Length(3, 6)))
+_vocabulary("flt_duplicate_cap", _only(Whitespace(), Lowercase(), DuplicateCap(3)))
+for _lang in ("en", "fr", "de", "es"):
+    _vocabulary(
+        f"stem_snowball_{_lang}",
+        TokenizerConfig(UnicodeWord(), (Lowercase(), Stopwords(_lang)), Snowball(_lang)),
+    )
+
+
+# -- index tables ----------------------------------------------------------------------
+
+
+@query("idx_doc_lengths")
+def _lengths(spark, sf_dir):
+    return document_tokens(table(spark, sf_dir).select("doc_id", "text")).select("doc_id", "doc_len")
+
+
+@query("idx_term_stats")
+def _terms(spark, sf_dir):
+    docs = document_tokens(table(spark, sf_dir).select("doc_id", "text"))
+    return term_stats(postings(docs)).withColumn("max_tf", F.col("max_tf").cast("long"))
+
+
+@query("idx_term_ids")
+def _term_ids(spark, sf_dir):
+    post = postings(tokens_of(spark, sf_dir), positions=True)
+    return with_term_ids(term_stats(post), post).select("term", "term_id", "doc_freq")
+
+
+@query("idx_postings")
+def _postings(spark, sf_dir):
+    wanted = spark.createDataFrame([("that",), ("was",), ("que",)], "term string")
+    docs = document_tokens(table(spark, sf_dir).select("doc_id", "text"))
+    found = postings(docs, F.broadcast(wanted), positions=True)
+    return found.select(
+        "term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions")
+    )
+
+
+@query("idx_corpus_stats")
+def _corpus(spark, sf_dir):
+    docs = tokens_of(spark, sf_dir)
+    words = occurrences(docs).agg(F.count_distinct("term").alias("vocabulary_size"))
+    return corpus_stats(docs).crossJoin(words).select(  # two rows of one
+        "n_docs", "total_len", F.round("avgdl", 6).alias("avgdl"), "vocabulary_size"
+    )
+
+
+@query("idx_blocks")
+def _blocks(spark, sf_dir):
+    return blocks(postings(tokens_of(spark, sf_dir)))
+
+
+# -- changes -----------------------------------------------------------------------------
+
+
+def _after_delete(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir).select("doc_id", "text")
+    gone = docs.where(F.col("doc_id") % 7 == 0).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+@query("delete_then_search")
+def _delete(spark, sf_dir):
+    docs = document_tokens(_after_delete(spark, sf_dir)).persist()
+    return search(docs, weighted(spark, PROBE), Okapi(), TOP).select("rank", "doc_id", "score")
+
+
+@query("compact_stats")
+def _compact(spark, sf_dir):
+    docs = document_tokens(_after_delete(spark, sf_dir)).persist()
+    stats = term_stats(postings(docs))
+    sums = stats.agg(
+        F.count("*").alias("vocabulary_size"), F.sum("doc_freq").alias("total_terms"),
+        F.max("max_tf").cast("long").alias("max_tf"),
+    )
+    return corpus_stats(docs).crossJoin(sums).select(  # two rows of one
+        "n_docs", "total_len", F.round("avgdl", 6).alias("avgdl"), "vocabulary_size", "total_terms", "max_tf"
+    )
+
+
+@query("wal_replay_search")
+def _replay(spark, sf_dir):
+    """A log that deletes every 7th document, inserts some of them again, and adds conversations."""
+    docs = table(spark, sf_dir).select(F.col("doc_id").cast("string").alias("external_id"), "text")
+    number = F.col("external_id").cast("long")
+    deletes = docs.where(number % 7 == 0).select("external_id", F.lit(None).cast("string").alias("text"), number.alias("seq"))
+    again = docs.where(number % 14 == 0).select("external_id", F.lit("that was for").alias("text"), (number + 10_000_000).alias("seq"))
+    said = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+    new = said.select(
+        F.concat(F.lit("c-"), "conv_id").alias("external_id"), "text", (F.col("conv_id") + 20_000_000).alias("seq")
+    )
+    more, gone = fold(deletes.unionByName(again).unionByName(new), docs.select("external_id"))
+    left = docs.join(gone, "external_id", "left_anti").unionByName(more)
+    tokens = document_tokens(left).withColumnRenamed("external_id", "doc_id").persist()
+    return search(tokens, weighted(spark, PROBE), Okapi(), TOP).select("rank", "doc_id", "score")
+
+
+# -- expansion ------------------------------------------------------------------------------
+
+FEEDBACK = 10
+
+
+def _feedback(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The probe query, and the terms of its best documents."""
+    docs = tokens_of(spark, sf_dir)
+    terms = weighted(spark, PROBE)
+    best = search(docs, terms, Okapi(), FEEDBACK).select("query_id", "doc_id")
+    found = docs.join(F.broadcast(best), "doc_id")  # FEEDBACK rows
+    each = found.select("query_id", "doc_id", F.explode("tokens").alias("term"))
+    counts = each.groupBy("query_id", "doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    return docs, terms, counts
+
+
+def _expansion(name: str, expand: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def run(spark, sf_dir):
+        _, terms, counts = _feedback(spark, sf_dir)
+        out = expand(terms, counts).groupBy("term").agg(F.sum("weight").alias("weight"))
+        return out.select("term", F.round("weight", 6).alias("weight"))
+
+    QUERIES[name] = run
+
+
+_expansion("expand_rm3", expansion.rm3)
+_expansion("expand_rocchio", expansion.rocchio)
+_expansion("expand_bo1", expansion.bo1)
+
+
+@query("expand_synonym")
+def _synonym(spark, sf_dir):
+    pairs = spark.createDataFrame([("that", "which"), ("that", "who"), ("was", "is")], "term string, synonym string")
+    out = expansion.synonyms(weighted(spark, PROBE), pairs, 0.4)
+    return out.select("term", F.round("weight", 6).alias("weight"))
+
+
+@query("expand_prf")
+def _prf(spark, sf_dir):
+    docs, terms, counts = _feedback(spark, sf_dir)
+    stats = term_stats(postings(docs)).select("term", "doc_freq")
+    out = expansion.pseudo_relevance(terms, counts, stats, docs.count(), ["of", "the"])
+    return out.select("term", F.round("weight", 6).alias("weight"))
+
+
+# -- fusion -------------------------------------------------------------------------------
+
+
+def _two_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = tokens_of(spark, sf_dir)
+    return tuple(
+        search(docs, weighted(spark, PROBE), s, TOP).select("query_id", "doc_id", "score", F.col("rank").alias("pos"))
+        for s in (Okapi(), TfIdf())
+    )
+
+
+@query("fuse_rrf")
+def _rrf(spark, sf_dir):
+    return top_k(fusion.rrf(*_two_lists(spark, sf_dir)), 1000).select("rank", "doc_id", "score")
+
+
+@query("fuse_linear")
+def _linear(spark, sf_dir):
+    both = fusion.linear_combination(*_two_lists(spark, sf_dir), alpha=0.6)
+    return top_k(both, 1000).select("rank", "doc_id", "score")
+
+
+def _normalizer(name: str, column: Callable) -> None:
+    def run(spark, sf_dir):
+        first, _ = _two_lists(spark, sf_dir)
+        return first.select("doc_id", F.round(column(), 6).alias("score"))
+
+    QUERIES[name] = run
+
+
+_normalizer("norm_minmax", fusion.min_max)
+_normalizer("norm_zscore", fusion.z_score)
+_normalizer("norm_cdf", fusion.cdf)
+
+
+# -- evaluation ----------------------------------------------------------------------------
+
+
+def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three one-term queries, their best documents, and the good ones as relevant."""
+    names = [(1, "that"), (2, "was"), (3, "que"), (4, "no_such_term")]
+    terms = spark.createDataFrame([(i, t, 1.0) for i, t in names], "query_id long, term string, weight double")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    ids = terms.select("query_id")
+    return ids, terms, good.join(F.broadcast(ids))  # four queries
+
+
+@query("metrics_by_query")
+def _metrics(spark, sf_dir):
+    ids, terms, qrels = _judged(spark, sf_dir)
+    found = search(tokens_of(spark, sf_dir), terms, Okapi(), 20)
+    out = evaluate(ids, found, qrels, 10)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("ndcg", "ap", "recall", "precision", "mrr")])
+
+
+@query("variant_comparison")
+def _variants(spark, sf_dir):
+    ids, terms, qrels = _judged(spark, sf_dir)
+    out = variant_comparison(tokens_of(spark, sf_dir), terms, qrels)
+    return out.select("variant", *[F.round(c, 6).alias(c) for c in ("ndcg", "ap", "recall", "precision", "mrr")])
+
+
+@query("recall_degradation")
+def _degradation(spark, sf_dir):
+    terms = weighted(spark, PROBE)
+    return recall_degradation(tokens_of(spark, sf_dir), terms, ks=(1, 5, 10), budget=100)
+
+
+@query("latency_percentiles")
+def _latency(spark, sf_dir):
+    values = table(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
+    return values.select(
+        "event_type", *[percentile_column(F.col("v"), p).alias(f"p{n}") for n, p in ((50, 0.5), (95, 0.95), (99, 0.99), (999, 0.999))]
+    )
+
+
+# -- vectors and export ------------------------------------------------------------------------
+
+
+@query("sparse_query_vector")
+def _query_vector(spark, sf_dir):
+    docs = tokens_of(spark, sf_dir)
+    post = postings(docs, positions=True)
+    terms = with_term_ids(term_stats(post), post)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = query_vector(docs, bag_of_words(items), terms)
+    return out.select("query_id", "term_id", F.round("weight", 6).alias("weight"))
+
+
+@query("sparse_doc_vector")
+def _doc_vector(spark, sf_dir):
+    post = postings(tokens_of(spark, sf_dir), positions=True)
+    return document_vector(post, with_term_ids(term_stats(post), post))
+
+
+@query("export_corpus")
+def _export(spark, sf_dir):
+    docs = table(spark, sf_dir)
+    return docs.select(
+        F.to_json(
+            F.struct(F.col("doc_id").cast("string").alias("_id"), F.lit(None).cast("string").alias("title"), "text"),
+            {"ignoreNullFields": "false"},
+        ).alias("line")
+    )
+
+
+@query("scored_documents")
+def _all_scores(spark, sf_dir):
+    out = scored(tokens_of(spark, sf_dir), weighted(spark, PROBE), Okapi())
+    return out.select("doc_id", F.round("score", 6).alias("score"))

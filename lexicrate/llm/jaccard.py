@@ -432,19 +432,16 @@ def jaccard_classes(
         (F.col("block")).alias("own"),
         *(F.col(c).alias(f"{c}2") for c in ("node", "n", "s", "place", "value")),
     )
+    # At the first entry in common, what lies behind it on either side must be enough.
+    at_most = F.least(F.col("s1") - F.col("place1"), F.col("s2") - F.col("place2"))
     meet = one.join(two, ["key", "block"]).where(
         (F.col("value1") != F.col("value2"))
         & ((F.col("own") != F.col("block")) | (F.col("node1") < F.col("node2")))
+        & (at_most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
     )
-    # What lies behind the shorter of two entries in the order of keys is less than
-    # percent of its set; all that is before counts among the common entries.
-    behind = F.ceil(F.greatest("n1", "n2") * percent / 100) - 1
-    pairs = (
-        meet.groupBy(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
-        .agg(F.count("*").alias("common"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
-        .where((F.col("common") + behind) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
-        .select("a", "b")
-    )
+    pairs = meet.select(
+        F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")
+    ).distinct()
     more = staged(_linked(staged(pairs, "pairs"), nodes, percent), "links")
     if not more.isEmpty():
         labels = staged(

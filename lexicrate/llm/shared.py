@@ -43,15 +43,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+UNKNOWN_BYTES = 1 << 52
+MOST_BUCKETS = 1 << 22
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own estimate of the input's size; costs no job."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 60)
+    """Catalyst's own estimate of the input's size, which costs no job.
+
+    Where it knows none, as for local rows, the texts are summed up.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN_BYTES:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def buckets_for(df: DataFrame, bytes_each: int, least: int = 64) -> int:
     """A number of hash buckets that grows with the input, so that each stays small."""
-    return max(least, math.ceil(estimated_bytes(df) / bytes_each))
+    return min(MOST_BUCKETS, max(least, math.ceil(estimated_bytes(df) / bytes_each)))
 
 
 def ascii_lower(text: Column) -> Column:

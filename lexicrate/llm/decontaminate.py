@@ -105,16 +105,12 @@ def _fingerprints(df: DataFrame, keys: list[str], gram: int, window: int, short:
     # A column of its own for each step: an expression inside a lambda runs once an element.
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     df = df.withColumn("grams", _grams(hashes, gram))
-    kept = [
-        F.transform(
-            _places(grams, window - gram + 1),
-            lambda p: _at(words, hashes, p, gram, window - gram),
-        )
-    ]
-    kept += [
-        F.transform(_all_places(words, m), lambda p, m=m: _at(words, hashes, p, m, 0))
-        for m in short
-    ]
+
+    def around(width: int, reach: int):
+        return lambda place: _at(words, hashes, place, width, reach)
+
+    kept = [F.transform(_places(grams, window - gram + 1), around(gram, window - gram))]
+    kept += [F.transform(_all_places(words, m), around(m, 0)) for m in short]
     return df.select(*keys, F.explode(F.concat(*kept)).alias("g")).select(*keys, "g.*")
 
 

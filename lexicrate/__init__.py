@@ -32,6 +32,14 @@ from .config import (
     Wand,
     Whitespace,
 )
+from .functions.ranked_lists import (
+    FusionResult,
+    cdf_normalize,
+    linear_combination,
+    min_max_normalize,
+    rrf,
+    z_score_normalize,
+)
 from .index import BM25Index, SearchHit
 from .operators.metrics import (
     LatencyProfiler,
@@ -46,8 +54,9 @@ from .operators.search import BooleanQuery, PhraseQuery, WeightedQuery
 __all__ = [
     "Adaptive", "Atire", "Bm25F", "Bm25L", "Bm25T", "BlockMaxWand", "BM25Config", "BM25Index",
     "BooleanQuery", "DuplicateCap", "ExhaustiveDAAT", "ExhaustiveTAAT", "ExpansionConfig",
-    "FieldWeight", "FusionConfig", "LatencyProfiler", "Length", "Lowercase", "MaxScore", "Ngram",
+    "FieldWeight", "FusionConfig", "FusionResult", "LatencyProfiler", "Length", "Lowercase", "MaxScore", "Ngram",
     "NoOp", "Okapi", "PersistConfig", "PhraseQuery", "Plus", "Porter", "Regex", "SearchHit",
     "Snowball", "Stopwords", "TfIdf", "TokenizerConfig", "UnicodeWord", "Wand", "WeightedQuery",
-    "Whitespace", "average_precision_at_k", "mrr", "ndcg_at_k", "precision_at_k", "recall_at_k",
+    "Whitespace", "average_precision_at_k", "cdf_normalize", "linear_combination", "min_max_normalize",
+    "mrr", "ndcg_at_k", "precision_at_k", "recall_at_k", "rrf", "z_score_normalize",
 ]

@@ -40,6 +40,7 @@ from .operators.tables import (
     blocks,
     corpus_stats,
     document_tokens,
+    number_by,
     number_rows,
     postings,
     term_stats,
@@ -153,8 +154,8 @@ class BM25Index:
         """Leaves deleted documents out for good and numbers the others anew."""
         if self.docs.where("not live").isEmpty():
             return
-        live = self.docs.where("live").orderBy("doc_id").drop("doc_id")
-        self.docs = number_rows(live).select(*self.docs.columns).persist()
+        live = self.docs.where("live").withColumnRenamed("doc_id", "_old")
+        self.docs = number_by(live, "_old").select(*self.docs.columns).persist()
         self.next_id, self.built = self.docs.count(), int(time.time())
 
     # -- tables ------------------------------------------------------------------

@@ -22,24 +22,35 @@ MAX_TF = 65_535
 SLICE = 1 << 14
 
 
+def _with_starts(df: DataFrame, part: str, out: str, at: Column, base: int = 0) -> DataFrame:
+    """Numbers rows by their place ``at`` in their part, behind all rows of the parts before."""
+    sizes = df.groupBy(part).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = df.withColumn("_place", at).join(starts, part)
+    return numbered.withColumn(out, F.col("_place") + F.col("_start") + base).drop(
+        "_place", "_start", part
+    )
+
+
 def number_rows(df: DataFrame, out: str = "doc_id", base: int = 0) -> DataFrame:
     """Dense numbers in the order of the input, without moving rows to one task.
 
-    Rows are numbered within their partition; the partitions' sizes, one row
-    each, give where its numbers start.
+    Rows are numbered within their partition; the partitions' sizes tell where
+    each starts.  The tagged rows are kept, as partitions may be cut in another
+    way when they are worked out twice.
     """
-    tagged = df.withColumns(
-        {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
-    )
-    sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    numbered = tagged.join(F.broadcast(starts), "_part")
-    return numbered.withColumn(out, F.col("_at") - F.col("_first") + F.col("_start") + base).drop(
-        "_part", "_at", "_first", "_start"
-    )
+    tagged = df.withColumn("_at", F.monotonically_increasing_id()).persist()
+    parted = tagged.withColumn("_part", F.shiftright("_at", 33))
+    at = F.col("_at") - F.shiftleft("_part", 33)
+    return _with_starts(parted, "_part", out, at, base).drop("_at")
+
+
+def number_by(df: DataFrame, key: str, then: str | None = None, out: str = "doc_id") -> DataFrame:
+    """Dense numbers in the order of ``key`` (a number) and ``then``, slice by slice of the key."""
+    sliced = df.withColumn("_slice", F.floor(F.col(key) / SLICE))
+    order = Window.partitionBy("_slice").orderBy(*[c for c in (key, then) if c])
+    return _with_starts(sliced, "_slice", out, F.row_number().over(order) - 1)
 
 
 def full_text(text: Column, fields: Column | None) -> Column:
@@ -95,9 +106,11 @@ def term_stats(post: DataFrame) -> DataFrame:
 
 def with_term_ids(terms: DataFrame, post: DataFrame) -> DataFrame:
     """Numbers the terms by first document, then by first position."""
-    first = post.groupBy("term").agg(F.min(F.struct("doc_id", F.col("positions")[0])).alias("_f"))
-    ordered = terms.join(first, "term").orderBy("_f").drop("_f")
-    return number_rows(ordered, "term_id")
+    first = post.groupBy("term").agg(
+        F.min(F.struct("doc_id", F.col("positions")[0].alias("pos"))).alias("_f")
+    )
+    placed = terms.join(first, "term").select("*", F.col("_f.doc_id").alias("_d"), F.col("_f.pos").alias("_p"))
+    return number_by(placed, "_d", "_p", "term_id").drop("_f", "_d", "_p")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 
-def least_labels(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
+def least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """The least ``value`` that each node reaches.
 
     ``nodes(node, value)`` has one row per node, ``links(a, b)`` any links
-    between them.  Each round takes the least label of the neighbours and then
-    the label of the label's node (pointer jumping), so the number of rounds
-    grows with the logarithm of the longest path.  Every round is a table in the
-    shared folder: lineage stays short and lost executors cost one round.
+    between them.  A label is the least node known so far, by value and then by
+    node.  Each round looks up the label of every label (pointer jumping); the
+    least one among a node's neighbours goes to the node and to the node of its
+    label, so that whole clusters hook onto each other.  Rounds go on until no
+    label changes; then all nodes of a component agree.  Every round is a table
+    in the shared folder: lineage stays short and lost executors cost one round.
     Returns (node, value).
     """
     own = F.struct(F.col("value"), F.col("node").alias("at"))
@@ -23,23 +25,28 @@ def least_labels(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFr
     both = staged(
         links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links"
     )
-    for _ in range(rounds):
+    while True:
+        target = labels.select(F.col("node").alias("to"), F.col("label").alias("jump"))
+        jumped = staged(
+            labels.join(target, F.col("label.at") == F.col("to")).select("node", "label", "jump"),
+            "jumped",
+        )
         near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
+            both.join(jumped.select(F.col("node").alias("b"), "jump"), "b")
             .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
+            .agg(F.min("jump").alias("near"))
+        )
+        hooked = jumped.join(near, "node", "left").select(
+            "node", "label", F.least("jump", F.coalesce("near", "jump")).alias("least")
         )
-        hooked = labels.join(near, "node", "left").select(
-            "node",
-            F.col("label").alias("old"),
-            F.least("label", F.coalesce("near", "label")).alias("label"),
+        offers = hooked.select("node", F.col("label").alias("old"), "least").unionByName(
+            hooked.where(F.col("label.at") != F.col("node")).select(
+                F.col("label.at").alias("node"),
+                F.lit(None).cast(hooked.schema["label"].dataType).alias("old"), "least",
+            )
         )
-        hooked = staged(hooked, "hooked")
-        target = hooked.select(F.col("node").alias("to"), F.col("label").alias("jump"))
         moved = staged(
-            hooked.join(target, F.col("label.at") == F.col("to"), "left").select(
-                "node", "old", F.least("label", F.coalesce("jump", "label")).alias("label")
-            ),
+            offers.groupBy("node").agg(F.max("old").alias("old"), F.min("least").alias("label")),
             "labels",
         )
         labels = moved.select("node", "label")

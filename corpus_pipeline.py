@@ -25,9 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; so does a document of which nothing is left."""
+    """Later repeats of runs of words go; so does a document of which nothing is left."""
     out = dedup_lines(docs)
-    changed = F.size("removed_lines") > 0
+    changed = F.col("removed_words") > 0
     left = out.where(~(changed & (F.trim("text") == ""))).withColumn(
         "n_chars",
         F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")),

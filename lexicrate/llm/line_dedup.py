@@ -1,8 +1,8 @@
-"""Operator 4: removal of repeated runs of lines, by winnowing over line hashes.
+"""Operator 4: removal of repeated runs of words, by winnowing over word hashes.
 
-A line ends at a line break or behind a full stop, question or exclamation mark
-and a space.  A *gram* is the shortest run of whole lines from a given line
-on (or up to it) that has ``gram_words`` words.
+A *gram* is ``gram_words`` words in a row, wherever they stand in a line.  A line
+ends at a line break or behind a full stop, question or exclamation mark and a
+space; lines only matter for what is left of the text around a cut.
 
 1. *Winnowing*: of the grams within every ``run_words`` words, the one of least
    hash is a fingerprint.  Any two equal runs of ``run_words`` words or more
@@ -10,9 +10,9 @@ on (or up to it) that has ``gram_words`` words.
 2. *Join*: fingerprints are counted over the corpus, in packed blocks dealt by
    hash.
 3. *Extension*: around each fingerprint that occurs twice or more, to both sides
-   and as far as fingerprints go on, all grams, forward and backward, are looked
-   up: does an earlier place (smaller doc_id, then position) hold the same words?
-4. Lines of grams that have an earlier place are removed.
+   and as far as fingerprints go on, all grams are looked up: does an earlier
+   place (smaller doc_id, then position) hold the same words?
+4. Words of grams that have an earlier place are removed.
 
 An equal gram is compared with its first place only, and equality of grams is
 transitive, so no pairs of a group are ever formed: a chunk of documents sends
@@ -34,9 +34,9 @@ NO_ID = (1 << 63) - 1
 STOPS = byte_class(b".!?")
 CHUNK = 2 << 20
 
-BLOCKS = "bucket int, chunk long, keys binary, docs binary, places binary, own binary"
-CUTS = "id long, text_hash long, lines array<int>, words long"
-_NAMES = ("bucket", "chunk", "keys", "docs", "places", "own")
+BLOCKS = "bucket int, chunk long, keys binary, docs binary, places binary, at binary, own binary"
+CUTS = "id long, text_hash long, spans array<int>, words long"
+_NAMES = ("bucket", "chunk", "keys", "docs", "places", "at", "own")
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher):
@@ -78,117 +78,104 @@ class _Powers:
 _POWERS = _Powers()
 
 
-class Lines:
-    """The lines of a chunk: word counts and prefix sums, from which any run's hash follows."""
+def _sliding(op, x: np.ndarray, width: int) -> np.ndarray:
+    """``op`` (minimum or maximum) over every ``width`` neighbours of ``x``."""
+    n, have = len(x) - width + 1, 1
+    if n <= 0:
+        return x[:0]
+    while 2 * have <= width:
+        x, have = op(x[:-have], x[have:]), 2 * have
+    return op(x[:n], x[width - have : width - have + n])
 
-    def __init__(self, counts: np.ndarray, per_row: np.ndarray, sums: np.ndarray):
-        self.counts, self.per_row, self.sums = counts, per_row, sums
-        self.begin = np.cumsum(counts) - counts  # first word of every line
-        self.end = self.begin + counts
+
+class Words:
+    """The words of a chunk: prefix sums of their hashes, from which any gram's hash follows."""
+
+    def __init__(self, per_row: np.ndarray, hashes: np.ndarray):
+        up, self.down = _POWERS.get(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(hashes * up[: len(hashes)], out=self.sums[1:])
+        self.per_row = per_row
         self.row = np.repeat(np.arange(len(per_row)), per_row)
         self.row_end = np.cumsum(per_row)
         self.row_begin = self.row_end - per_row
 
-    @classmethod
-    def of(cls, counts, per_row, hashes) -> Lines:
-        up, _ = _POWERS.get(len(hashes) + 1)
-        sums = np.zeros(len(hashes) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-        edges = np.append(0, np.cumsum(counts))
-        return cls(counts, per_row, sums[edges])
+    def starts(self, words: int) -> np.ndarray:
+        """The words from which ``words`` words go on in their row."""
+        n = np.arange(len(self.row))
+        return n[n + words <= self.row_end[self.row]]
 
-    def hash(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hashes of the runs of lines ``first..last``."""
-        _, down = _POWERS.get(int(self.end[-1]) + 1 if len(self.end) else 1)
+    def hash(self, first: np.ndarray, words: int) -> np.ndarray:
+        """Hashes of the grams from ``first`` on."""
         with np.errstate(over="ignore"):
-            return mix64(
-                (self.sums[last + 1] - self.sums[first]) * down[self.begin[first]]
-                + (self.end[last] - self.begin[first]).astype(np.uint64)
-            )
-
-    def forward(self, words: int) -> np.ndarray:
-        """Last line of the gram from every line on; -1 where the row ends before."""
-        last = np.searchsorted(self.end, self.begin + words)
-        return np.where(last < self.row_end[self.row], last, -1)
-
-    def backward(self, words: int) -> np.ndarray:
-        """First line of the gram up to every line; -1 where the row starts after."""
-        first = np.searchsorted(self.begin, self.end - words, side="right") - 1
-        return np.where(first >= self.row_begin[self.row], first, -1)
-
-    def fingerprints(self, gram: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first line, last line, hash) of the grams that winnowing keeps."""
-        last = self.forward(gram)
-        whole = np.flatnonzero(last >= 0)
-        if not len(whole):
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(0, np.uint64)
-        value = np.full(len(last), np.uint64(2**64 - 1))
-        value[whole] = self.hash(whole, last[whole])
-        # the window from a line on: grams that end with the first run of ``run`` words
-        until = self.forward(run)
-        row_last = self.row_end[self.row] - 1
-        short = (self.end[row_last] - self.begin[self.row_begin[self.row]] < run) & (
-            np.arange(len(last)) == self.row_begin[self.row]
-        )
-        until = np.where(short, row_last, until)
-        start = np.flatnonzero((until >= 0) & (last >= 0))
-        best, at, k = value[start].copy(), start.copy(), 1
-        active = np.arange(len(start))
-        while len(active):
-            here = start[active] + k
-            inside = here < len(last)
-            inside[inside] &= (last[here[inside]] >= 0) & (
-                last[here[inside]] <= until[start[active[inside]]]
-            )
-            active = active[inside]
-            here = start[active] + k
-            less = value[here] < best[active]
-            best[active[less]], at[active[less]] = value[here[less]], here[less]
-            k += 1
-        kept = np.unique(at)
-        return kept, last[kept], value[kept]
-
-    def grams(self, gram: int, zone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first, last) of all grams, either way, that lie in the zone."""
-        n = np.arange(len(self.counts))
-        last, first = self.forward(gram), self.backward(gram)
+            return mix64((self.sums[first + words] - self.sums[first]) * self.down[first])
+
+    def fingerprints(self, gram: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the grams that winnowing keeps."""
+        whole = self.starts(gram)
+        value = np.full(len(self.row), np.uint64(2**64 - 1))
+        value[whole] = self.hash(whole, gram)
+        # a gram is kept if it is the least of any window that holds it: the greatest
+        # least value among its windows is its own
+        width = run - gram + 1
+        least = np.zeros(len(self.row) + 2 * (width - 1), np.uint64)
+        start = self.starts(run)
+        least[width - 1 + start] = _sliding(np.minimum, value, width)[start]
+        cover = _sliding(np.maximum, least, width)
+        # a row shorter than a window is one
+        short = np.flatnonzero((self.per_row >= gram) & (self.per_row < run))
+        for r in short:
+            a, b = self.row_begin[r], self.row_end[r]
+            cover[a:b] = value[a:b].min()
+        kept = whole[value[whole] == cover[whole]]
+        return kept, value[kept]
+
+    def grams(self, gram: int, zone: np.ndarray) -> np.ndarray:
+        """First words of all grams that lie in the zone."""
+        whole = self.starts(gram)
         outside = np.append(0, np.cumsum(~zone))
-        a = np.concatenate([n[last >= 0], first[first >= 0]])
-        b = np.concatenate([last[last >= 0], n[first >= 0]])
-        inside = outside[b + 1] == outside[a]
-        return a[inside], b[inside]
-
-    def zone(self, first: np.ndarray, last: np.ndarray, reach: int) -> np.ndarray:
-        """Lines within ``reach`` words of the given runs, in their row."""
-        mark = np.zeros(len(self.counts) + 1, np.int64)
+        return whole[outside[whole + gram] == outside[whole]]
+
+    def zone(self, first: np.ndarray, gram: int, reach: int) -> np.ndarray:
+        """Words within ``reach`` words of the given grams, in their row."""
         row = self.row[first]
-        a = np.searchsorted(self.end, self.begin[first] - reach, side="right")
-        b = np.searchsorted(self.begin, self.end[last] + reach) - 1
-        np.add.at(mark, np.maximum(a, self.row_begin[row]), 1)
-        np.add.at(mark, np.minimum(b, self.row_end[row] - 1) + 1, -1)
-        return np.cumsum(mark[:-1]) > 0
+        a = np.maximum(first - reach, self.row_begin[row])
+        b = np.minimum(first + gram + reach, self.row_end[row])
+        return _marked(a, b, len(self.row))
+
 
+def _marked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in any of the ranges ``a..b``."""
+    mark = np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1)
+    return np.cumsum(mark[:n]) > 0
+
+
+def _blob(*arrays: np.ndarray, data: bytes = b"") -> bytes:
+    """Arrays of 64-bit values behind one another, with their lengths in front; then bytes."""
+    import zstandard
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    """Arrays of 64-bit values behind one another, with their lengths in front."""
     head = np.array([len(arrays), *map(len, arrays)], np.int64)
-    return b"".join([head.tobytes(), *(a.astype(a.dtype.newbyteorder("<")).view(np.int64).tobytes() if a.dtype.itemsize == 8 else a.astype(np.int64).tobytes() for a in arrays)])
+    parts = [head.tobytes(), *(a.astype(np.int64).tobytes() for a in arrays), data]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _arrays(blob: bytes) -> list[np.ndarray]:
-    whole = np.frombuffer(blob, np.int64)
-    n = int(whole[0])
-    cuts = np.cumsum(np.append(1 + n, whole[1 : 1 + n]))
-    return [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    """The arrays of ``_blob``, and its bytes at the end."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    lengths = raw[8 : 8 * (1 + n)].view(np.int64)
+    cuts = 8 * np.cumsum(np.append(1 + n, lengths))
+    return [raw[a:b].view(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)] + [raw[cuts[-1] :]]
 
 
 def _table(rows: list[tuple]):
     import pyarrow as pa
 
-    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
     return pa.Table.from_arrays(
         [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], list(_NAMES)
     )
@@ -203,13 +190,13 @@ def _deal(keys, others: list[np.ndarray], buckets: int, chunk: int) -> list[tupl
     rows = []
     for b, i, j in zip(there, at, at[1:], strict=False):
         part = order[i:j]
-        more = [x[part].tobytes() for x in others] + [None] * (2 - len(others))
+        more = [x[part].tobytes() for x in others] + [None] * (3 - len(others))
         rows.append((int(b), chunk, keys[part].tobytes(), *more, None))
     return rows
 
 
 def _read(df: DataFrame, gram: int, run_words: int, buckets: int) -> DataFrame:
-    """Fingerprints of every chunk, dealt by hash, and its lines in a row of their own."""
+    """Fingerprints of every chunk, dealt by hash, and its texts in a row of their own."""
 
     def run(batches) -> Iterator:
         from pyspark import TaskContext
@@ -220,13 +207,11 @@ def _read(df: DataFrame, gram: int, run_words: int, buckets: int) -> DataFrame:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             hashes = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in TextChunks(batch.column(1), CHUNK):
-                _, counts, per_row, words = lines_of(data, offsets, hasher)
-                lines = Lines.of(counts, per_row, words)
-                _, _, value = lines.fingerprints(gram, run_words)
+                _, value = _words(data, offsets, hasher).fingerprints(gram, run_words)
                 keys, n = np.unique(value, return_counts=True)
                 rows = _deal(keys, [np.minimum(n, 2).astype(np.uint8)], buckets, chunk)
-                own = _blob(ids[lo:hi], hashes[lo:hi], per_row, counts, lines.sums)
-                rows.append((buckets + chunk % 64, chunk, None, None, None, own))
+                own = _blob(ids[lo:hi], hashes[lo:hi], offsets, data=data.tobytes())
+                rows.append((buckets + chunk % 64, chunk, None, None, None, None, own))
                 yield from _table(rows).to_batches()
                 chunk += 1
 
@@ -235,6 +220,11 @@ def _read(df: DataFrame, gram: int, run_words: int, buckets: int) -> DataFrame:
     ).mapInArrow(run, BLOCKS)
 
 
+def _words(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher) -> Words:
+    starts, ends, per_row = hasher.spans(data, offsets)
+    return Words(per_row, hasher.hashes(data, starts, ends))
+
+
 def _repeated(table):
     """Of one bucket: the fingerprints that occur twice or more, chunk by chunk."""
     rows = table.to_pylist()
@@ -250,7 +240,7 @@ def _repeated(table):
             keep = part[often[a : a + len(part)]]
             a += len(part)
             if len(keep):
-                out.append((r["bucket"], r["chunk"], keep.tobytes(), None, None, None))
+                out.append((r["bucket"], r["chunk"], keep.tobytes(), None, None, None, None))
     return _table(out)
 
 
@@ -261,27 +251,28 @@ def _extend(gram: int, run_words: int, buckets: int):
         rows = table.to_pylist()
         blob = next(r["own"] for r in rows if r["own"] is not None)
         chunk = rows[0]["chunk"]
-        ids, hashes, per_row, counts, sums = _arrays(blob)
         known = [np.frombuffer(r["keys"], np.uint64) for r in rows if r["keys"] is not None]
         if not known:
             return _table([])
-        lines = Lines(counts, per_row, sums.view(np.uint64))
-        first, last, value = lines.fingerprints(gram, run_words)
+        ids, hashes, offsets, data = _arrays(blob)
+        words = _words(data, offsets, WordHasher(lower=False))
+        first, value = words.fingerprints(gram, run_words)
         hit = np.isin(value, np.concatenate(known))
-        zone = lines.zone(first[hit], last[hit], run_words)
-        a, b = lines.grams(gram, zone)
-        value = lines.hash(a, b)
-        row = lines.row[a]
-        place = lines.begin[a] - lines.begin[lines.row_begin[row]]
-        keys, inverse = np.unique(value, return_inverse=True)
+        first = words.grams(gram, words.zone(first[hit], gram, run_words))
+        row = words.row[first]
+        place = first - words.row_begin[row]
+        keys, inverse = np.unique(words.hash(first, gram), return_inverse=True)
         order = np.lexsort((place, ids[row], inverse))
         lead = order[np.searchsorted(inverse[order], np.arange(len(keys)))]
-        deal = _deal(keys, [ids[row][lead], place[lead]], buckets, chunk)
+        deal = _deal(
+            keys, [ids[row][lead], place[lead].astype(np.uint32), first[lead].astype(np.uint32)],
+            buckets, chunk,
+        )
         # a place that isn't the chunk's own first one is later in any case
         late = (ids[row] != ids[row][lead][inverse]) | (place != place[lead][inverse])
         deal.append(
-            (buckets + chunk % 64, chunk, None, None, None,
-             _blob(ids, hashes, per_row, counts, a, b, inverse, late, keys))
+            (buckets + chunk % 64, chunk, None, None, None, None,
+             _blob(ids, hashes, words.per_row, first[late]))
         )
         return _table(deal)
 
@@ -289,97 +280,118 @@ def _extend(gram: int, run_words: int, buckets: int):
 
 
 def _first(table):
-    """Of one bucket: the grams of each chunk that have an earlier place elsewhere."""
+    """Of one bucket: the first words of each chunk's grams that have an earlier place elsewhere."""
     rows = table.to_pylist()
     out = [tuple(r[n] for n in _NAMES) for r in rows if r["own"] is not None]
     real = [r for r in rows if r["own"] is None]
     if real:
         parts = [np.frombuffer(r["keys"], np.uint64) for r in real]
         ids = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in real])
-        places = np.concatenate([np.frombuffer(r["places"], np.int64) for r in real])
+        places = np.concatenate([np.frombuffer(r["places"], np.uint32) for r in real])
         keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         order = np.lexsort((places, ids, inverse))
         lead = order[np.searchsorted(inverse[order], np.arange(len(keys)))]
         late = (ids != ids[lead][inverse]) | (places != places[lead][inverse])
         a = 0
         for r, part in zip(real, parts, strict=True):
-            keep = part[late[a : a + len(part)]]
+            keep = np.frombuffer(r["at"], np.uint32)[late[a : a + len(part)]]
             a += len(part)
             if len(keep):
-                out.append((r["bucket"], r["chunk"], keep.tobytes(), None, None, None))
+                out.append((r["bucket"], r["chunk"], None, None, None, keep.tobytes(), None))
     return _table(out)
 
 
-def _cuts(table):
-    """Of one chunk: the lines to remove from each of its documents."""
-    import pyarrow as pa
+def _cuts(gram: int):
+    """Of one chunk: the words to remove from each of its documents."""
 
-    rows = table.to_pylist()
-    blob = next(r["own"] for r in rows if r["own"] is not None)
-    ids, hashes, per_row, counts, a, b, inverse, late, keys = _arrays(blob)
-    known = [np.frombuffer(r["keys"], np.uint64) for r in rows if r["keys"] is not None]
-    later = np.isin(keys.view(np.uint64), np.concatenate([np.zeros(0, np.uint64), *known]))
-    gone = (late != 0) | later[inverse]
-    mark = np.zeros(len(counts) + 1, np.int64)
-    np.add.at(mark, a[gone], 1)
-    np.add.at(mark, b[gone] + 1, -1)
-    lines = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-    row = np.repeat(np.arange(len(per_row)), per_row)
-    start = np.cumsum(per_row) - per_row
-    there, at = np.unique(row[lines], return_index=True)
-    at = np.append(at, len(lines))
-    groups = [lines[i:j] for i, j in zip(at, at[1:], strict=False)]
-    return pa.Table.from_arrays(
-        [
-            pa.array(ids[there]), pa.array(hashes[there]),
-            pa.array([(g - start[r]).astype(np.int32) for g, r in zip(groups, there, strict=True)],
-                     pa.list_(pa.int32())),
-            pa.array([int(counts[g].sum()) for g in groups], pa.int64()),
-        ],
-        ["id", "text_hash", "lines", "words"],
-    )
+    def run(table):
+        import pyarrow as pa
 
+        rows = table.to_pylist()
+        blob = next(r["own"] for r in rows if r["own"] is not None)
+        ids, hashes, per_row, late, _ = _arrays(blob)
+        known = [np.frombuffer(r["at"], np.uint32) for r in rows if r["at"] is not None]
+        first = np.concatenate([late, *known]).astype(np.int64)
+        gone = _marked(first, first + gram, int(per_row.sum()))
+        row = np.repeat(np.arange(len(per_row)), per_row)
+        begin = np.cumsum(per_row) - per_row
+        edge = np.ones(len(gone), bool)  # a span starts at a gone word behind a kept one or a row's begin
+        edge[1:] = ~gone[:-1] | (row[1:] != row[:-1])
+        a = np.flatnonzero(gone & edge)
+        edge = np.append((~gone | edge)[1:], True) if len(gone) else edge
+        b = np.flatnonzero(gone & edge) + 1
+        there, at = np.unique(row[a], return_index=True)
+        spans = np.stack([a - begin[row[a]], b - begin[row[a]]], axis=1).astype(np.int32)
+        groups = np.split(spans, at[1:]) if len(at) else []
+        return pa.Table.from_arrays(
+            [
+                pa.array(ids[there]), pa.array(hashes[there]),
+                pa.array([g.ravel() for g in groups], pa.list_(pa.int32())),
+                pa.array([int((g[:, 1] - g[:, 0]).sum()) for g in groups], pa.int64()),
+            ],
+            ["id", "text_hash", "spans", "words"],
+        )
+
+    return run
 
-def repeated_lines(
+
+def repeated_words(
     df: DataFrame, *, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS
 ) -> DataFrame:
-    """Lines to remove: (id, text_hash, lines, words), one row per document that has any."""
+    """Words to remove: (id, text_hash, spans, words), one row per document that has any.
+
+    ``spans`` holds the first word of every run and the one behind its last, in turn.
+    """
     buckets = buckets_for(df, 1 << 20)
     return (
         _read(df, gram_words, run_words, buckets)
         .groupBy("bucket").applyInArrow(_repeated, BLOCKS)
         .groupBy("chunk").applyInArrow(_extend(gram_words, run_words, buckets), BLOCKS)
         .groupBy("bucket").applyInArrow(_first, BLOCKS)
-        .groupBy("chunk").applyInArrow(_cuts, CUTS)
+        .groupBy("chunk").applyInArrow(_cuts(gram_words), CUTS)
         .dropDuplicates(["id", "text_hash"])
     )
 
 
-def without(text: str, lines: list[int]) -> str:
-    """``text`` without the given lines (places among its lines with a word)."""
+def without(text: str, spans: np.ndarray) -> tuple[str, np.ndarray]:
+    """``text`` without the given words, and the lines (places among its lines with a word)
+    of which none is left."""
     data = np.frombuffer(text.encode(), np.uint8)
+    hasher = WordHasher(lower=False)
     offsets = np.array([0, len(data)])
-    starts, _, _, _ = lines_of(data, offsets, WordHasher(lower=False))
-    edges = np.append(starts, len(data))
+    begins, counts, _, _ = lines_of(data, offsets, hasher)
+    starts, ends, _ = hasher.spans(data, offsets)
+    first = np.cumsum(counts) - counts  # first word of every line
+    until = starts.copy()  # up to where a cut from a line's begin goes, by the word behind it
+    until[first] = begins
+    until = np.append(until, len(data))
+    lead = np.zeros(len(starts), bool)
+    lead[first] = True
     keep = np.ones(len(data), bool)
-    for k in lines:
-        keep[edges[k] : edges[k + 1]] = False
-    return data[keep].tobytes().decode().rstrip()
+    gone = np.zeros(len(starts), bool)
+    for a, b in spans.reshape(-1, 2):
+        gone[a:b] = True
+        if lead[a]:
+            keep[until[a] : until[b]] = False
+        else:
+            keep[ends[a - 1] : ends[b - 1]] = False
+    return data[keep].tobytes().decode().rstrip(), np.flatnonzero(np.logical_and.reduceat(gone, first))
 
 
 def dedup_lines(
     df: DataFrame, *, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS
 ) -> DataFrame:
-    """``df`` with later repeats of runs of lines removed from ``text``.
+    """``df`` with later repeats of runs of words removed from ``text``.
 
-    Adds removed_lines (places among the lines with a word) and removed_words.
-    A run of ``run_words`` words or more that stood earlier, in a document of
-    smaller doc_id or before in the same one, is always removed; one under
+    Adds removed_lines (places among the lines with a word; those of which no
+    word is left) and removed_words.  A run of ``run_words`` words or more that
+    stood earlier, in a document of smaller doc_id or before in the same one, is
+    always removed, wherever it starts or ends in a line; one under
     ``gram_words`` never is.  Texts from which nothing is removed stay as they
     are, null and empty ones too.  A null doc_id counts as the largest; rows of
     the same doc_id and text are one document.  All other columns pass through.
     """
-    cuts = staged(repeated_lines(df, gram_words=gram_words, run_words=run_words), "cuts")
+    cuts = staged(repeated_words(df, gram_words=gram_words, run_words=run_words), "cuts")
     names = df.columns
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")]
     cuts = cuts.toDF("_id", "_hash", "removed_lines", "removed_words")
@@ -387,6 +399,7 @@ def dedup_lines(
         cuts, (F.col("_d") == F.col("_id")) & (F.col("_h") == F.col("_hash")), "left"
     )
     none = F.array().cast("array<int>")
+    # spans of words; the lines follow from the text
     joined = joined.select(
         *names, F.coalesce("removed_lines", none).alias("removed_lines"),
         F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
@@ -397,13 +410,18 @@ def dedup_lines(
         import pyarrow as pa
 
         for batch in batches:
-            lines = batch.column(len(names))
-            has = np.diff(lines.offsets.to_numpy()) > 0
+            spans = batch.column(len(names))
+            has = np.diff(spans.offsets.to_numpy()) > 0
             if has.any():
                 texts = batch.column(at).to_pylist()
+                lines = [[]] * len(texts)
                 for k in np.flatnonzero(has):
-                    texts[k] = without(texts[k], lines[int(k)].as_py())
+                    cut = spans[int(k)].values.to_numpy()
+                    texts[k], lines[k] = without(texts[k], cut)
                 batch = batch.set_column(at, names[at], pa.array(texts, pa.string()))
+                batch = batch.set_column(
+                    len(names), "removed_lines", pa.array(lines, pa.list_(pa.int32()))
+                )
             yield batch
 
     return joined.mapInArrow(run, joined.schema)

@@ -99,3 +99,32 @@ def test_odd_texts(spark):
     assert sorted(by_id[None], key=repr) == ["", None]
     assert by_id[1] == [None] and by_id[4] == ["one", "one"]
     assert dedup_lines(frame(spark, [])).count() == 0
+
+
+def distinct(seed, n):
+    """Words that no other seed has."""
+    return [f"w{seed}x{k}" for k in range(n)]
+
+
+@pytest.mark.parametrize("stop", ["", "."])
+@pytest.mark.parametrize("words", [40, 50])
+def test_passages_inside_lines(spark, stop, words):
+    passage = distinct(99, words)
+    for k in range(7, words, 30):  # lines of 30 words; the first and the last are cut ones
+        passage[k] += stop
+    own = {i: (distinct(i, 11 + i), distinct(100 + i, 9 + i)) for i in range(8)}
+    texts = [(i, " ".join([*a, *passage, *b])) for i, (a, b) in own.items()]
+    texts.append((8, " ".join(distinct(8, 30) + passage[:19] + distinct(108, 30))))
+    out = {r.doc_id: r for r in dedup_lines(frame(spark, texts)).collect()}
+    assert [out[i].removed_words for i in range(9)] == [0] + [words] * 7 + [0]
+    assert out[0].text == texts[0][1] and out[8].text == texts[8][1]
+    for i in range(1, 8):
+        assert out[i].text == " ".join([*own[i][0], *own[i][1]])
+
+
+def test_cuts_keep_line_breaks(spark):
+    passage = " ".join(distinct(5, 45))
+    texts = [(0, passage), (1, f"Own head {passage}\nnext line."), (2, f"Head.\n{passage} own tail.\nEnd.")]
+    out = {r.doc_id: r for r in dedup_lines(frame(spark, texts)).collect()}
+    assert out[1].text == "Own head\nnext line." and out[1].removed_lines == []
+    assert out[2].text == "Head.\nown tail.\nEnd." and out[2].removed_words == 45

@@ -23,7 +23,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import TextChunks, WordHasher, buckets_for, crc32_of_id, documents, mix64, staged
+from .shared import (
+    TextChunks, WordHasher, buckets_for, crc32_of_id, documents, mix64, own_group, staged,
+)
 
 END = int(mix64(np.array([0xE4D], np.uint64))[0])
 #: Rare words fall into bands: seen less than 2, 4, 16 times, or more.
@@ -126,7 +128,7 @@ def _pack(df: DataFrame, buckets: int) -> DataFrame:
                     )
                 meta = [[hi - lo], ids[lo:hi], known[lo:hi], held[lo:hi], n_words + 1]
                 rows.put(
-                    bucket=buckets + chunk % 64, chunk=chunk, keys=words.tobytes(),
+                    bucket=own_group(chunk, buckets), chunk=chunk, keys=words.tobytes(),
                     meta=np.concatenate(meta).astype(np.int64).tobytes(),
                     seq=squeezed(seq),
                 )
@@ -163,7 +165,8 @@ def _count(table):
         sums = [np.bincount(band, minlength=len(BANDS) + 1),
                 np.bincount(band, weights=total[seen], minlength=len(BANDS) + 1)]
         stats = [np.concatenate(sums).astype(np.int64), words[often].view(np.int64), total[often]]
-        out.put(bucket=-1, chunk=real[0]["chunk"], stats=np.concatenate(stats).tobytes())
+        host = real[real[0]["bucket"] % len(real)]["chunk"]  # not the same one for all buckets
+        out.put(bucket=-1, chunk=host, stats=np.concatenate(stats).tobytes())
     for r in rows:
         if r["meta"] is not None:
             out.put(bucket=-1, chunk=r["chunk"], keys=r["keys"], meta=r["meta"], seq=r["seq"])

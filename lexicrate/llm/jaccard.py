@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import least_labels
-from .shared import TextChunks, WordHasher, buckets_for, combine, documents, mix64, staged
+from .shared import (
+    TextChunks, WordHasher, buckets_for, combine, documents, mix64, own_group, staged,
+)
 
 WIDTH = 5
 NO_ID = (1 << 63) - 1
@@ -100,11 +102,11 @@ def _from_steps(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, kind), dtype=np.int64)
 
 
-def _pack(df: DataFrame, bits: int, width: int) -> DataFrame:
+def _pack(df: DataFrame, bits: int, width: int, groups: int) -> DataFrame:
     """The shingles of all sets, packed by chunk of text and bucket of hash.
 
     Equal sets of a chunk are one item.  A chunk's last row (bucket 2**bits and
-    up) lists its documents.
+    up, in ``groups`` groups at least) lists its documents.
     """
 
     def run(batches) -> Iterator:
@@ -137,7 +139,7 @@ def _pack(df: DataFrame, bits: int, width: int) -> DataFrame:
                     [[n, len(first)], ids[lo:hi], item, size[first]]
                 ).astype(np.int64)
                 out = (
-                    [*map(int, there), (1 << bits) + chunk % 64],
+                    [*map(int, there), own_group(chunk, max(groups, 1 << bits))],
                     [chunk] * (len(there) + 1),
                     [keys[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)] + [None],
                     [_ascending(items[a:b]) for a, b in zip(at, at[1:], strict=False)] + [None],
@@ -373,9 +375,10 @@ def jaccard_classes(
     component.  A null id stays null; its component is the smallest id of its
     class, null if it has none.  Other columns are not read.
     """
-    bits = min(16, max(8, math.ceil(math.log2(buckets_for(df, bucket_bytes)))))
+    groups = buckets_for(df, bucket_bytes)
+    bits = min(16, max(8, math.ceil(math.log2(groups))))
     items = staged(
-        _pack(df, bits, width)
+        _pack(df, bits, width, groups)
         .groupBy("bucket").applyInArrow(_shared, SHARED)
         .groupBy("chunk").applyInArrow(_items(percent), ITEMS),
         "items",

@@ -27,7 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import TextChunks, WordHasher, buckets_for, byte_class, documents, mix64, staged
+from .shared import (
+    TextChunks, WordHasher, buckets_for, byte_class, documents, mix64, own_group, staged,
+)
 
 GRAM_WORDS, RUN_WORDS = 20, 40
 NO_ID = (1 << 63) - 1
@@ -211,7 +213,7 @@ def _read(df: DataFrame, gram: int, run_words: int, buckets: int) -> DataFrame:
                 keys, n = np.unique(value, return_counts=True)
                 rows = _deal(keys, [np.minimum(n, 2).astype(np.uint8)], buckets, chunk)
                 own = _blob(ids[lo:hi], hashes[lo:hi], offsets, data=data.tobytes())
-                rows.append((buckets + chunk % 64, chunk, None, None, None, None, own))
+                rows.append((own_group(chunk, buckets), chunk, None, None, None, None, own))
                 yield from _table(rows).to_batches()
                 chunk += 1
 
@@ -271,7 +273,7 @@ def _extend(gram: int, run_words: int, buckets: int):
         # a place that isn't the chunk's own first one is later in any case
         late = (ids[row] != ids[row][lead][inverse]) | (place != place[lead][inverse])
         deal.append(
-            (buckets + chunk % 64, chunk, None, None, None, None,
+            (own_group(chunk, buckets), chunk, None, None, None, None,
              _blob(ids, hashes, words.per_row, first[late]))
         )
         return _table(deal)

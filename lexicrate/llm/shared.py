@@ -138,6 +138,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def own_group(chunk: int, buckets: int) -> int:
+    """The group of a chunk's own row, behind the ``buckets`` of its keys.
+
+    There are as many groups as buckets, so both grow with the input; the whole
+    chunk number is hashed, as its low bits only count within a partition.
+    """
+    return buckets + int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(buckets))
+
+
 class WordHasher:
     """64-bit hashes of all words of a chunk by one prefix sum.
 

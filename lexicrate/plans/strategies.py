@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import BlockMaxWand, Okapi, Setting, Wand
 from ..functions.scoring import score_bound, term_score
 from ..operators.search import _small, effective_strategy, search, top_k
-from ..operators.tables import BLOCK, corpus_stats, postings, term_stats
+from ..operators.tables import BLOCK, SLICE, corpus_stats, postings, ranked_postings, term_stats
 
 #: Scores are compared rounded to 6 digits; the bound keeps a margin for that.
 MARGIN = 1e-6
@@ -75,67 +75,69 @@ def pruned(
     return top_k(kept.select("query_id", "doc_id", "score"), k)
 
 
-def _walk(budget: int, k: int, blockwise: bool):
-    """One query's cursors over its postings, ascending by document."""
+def _reach(hits: DataFrame, blockwise: bool) -> DataFrame:
+    """``hits`` with the most that a term can still add: over its whole list, or blockwise
+    over the posting's block and all behind it."""
+    if not blockwise:
+        most = hits.groupBy("query_id", "term").agg(F.max("own_bound").alias("reach"))
+        return hits.join(_small(most), ["query_id", "term"])
+    keyed = hits.withColumn("term", F.struct("query_id", "term"))
+    placed = ranked_postings(keyed).withColumn("_block", F.floor(F.col("place") / BLOCK))
+    behind = Window.partitionBy("term").orderBy(F.desc("_block"))
+    most = (
+        placed.groupBy("term", "_block").agg(F.max("own_bound").alias("_most"))
+        .select("term", "_block", F.max("_most").over(behind).alias("reach"))
+    )
+    return placed.join(most, ["term", "_block"]).withColumn("term", F.col("term.term"))
+
+
+def _before(k: int):
+    """Of one query: the best scores of all documents before each slice."""
 
     def run(table):
         import heapq
 
         import pyarrow as pa
 
-        rows = table.to_pydict()
-        lists: dict[str, list[tuple[int, float, float]]] = {}
-        for term, doc, part, bound in zip(rows["term"], rows["doc_id"], rows["part"], rows["bound"], strict=True):
-            lists.setdefault(term, []).append((doc, part, bound))
-        cursors = []
-        for term in sorted(lists):
-            post = sorted(lists[term])
-            reach = [b for _, _, b in post]
-            if blockwise:  # the most that this block and all behind it can add
-                block = [max(reach[i : i + BLOCK]) for i in range(0, len(reach), BLOCK)]
-                for i in range(len(block) - 2, -1, -1):
-                    block[i] = max(block[i], block[i + 1])
-                reach = [block[i // BLOCK] for i in range(len(post))]
-            else:
-                reach = [max(reach)] * len(post)
-            cursors.append([post, reach, 0])
-        heap: list[tuple[float, int, int]] = []
-        scored = 0
-        while budget == 0 or scored < budget:
-            live = sorted((c for c in cursors if c[2] < len(c[0])), key=lambda c: c[0][c[2]][0])
-            least = heap[0][0] if len(heap) == k else 0.0
-            total, pivot = 0.0, None
-            for c in live:
-                total += c[1][c[2]]
-                if total > least:
-                    pivot = c[0][c[2]][0]
-                    break
-            if pivot is None:
-                break
-            if live[0][0][live[0][2]][0] < pivot:
-                for c in live:  # skip what can't reach the threshold
-                    while c[2] < len(c[0]) and c[0][c[2]][0] < pivot:
-                        c[2] += 1
+        rows = sorted(table.to_pylist(), key=lambda r: r["slice"])
+        heap, kept = [], []
+        for r in rows:
+            kept.append(list(heap))
+            heap = heapq.nlargest(k, heap + r["best"])
+        return pa.Table.from_arrays(
+            [
+                pa.array([r["query_id"] for r in rows], pa.int64()),
+                pa.array([r["slice"] for r in rows], pa.int64()),
+                pa.array(kept, pa.list_(pa.float64())),
+            ],
+            ["query_id", "slice", "best"],
+        )
+
+    return run
+
+
+def _in_slice(k: int):
+    """Of one slice of documents: those whose bound beats the k-th best score before them."""
+
+    def run(docs, state):
+        import heapq
+
+        import pyarrow as pa
+
+        docs = docs.sort_by("doc_id")
+        heap = state.column("best").to_pylist()[0] if len(state) else []
+        heapq.heapify(heap)
+        kept = []
+        scores = docs.column("score").to_pylist()
+        for i, (bound, score) in enumerate(zip(docs.column("bound").to_pylist(), scores, strict=True)):
+            if bound <= (heap[0] if len(heap) == k else 0.0):
                 continue
-            score = 0.0
-            for c in live:
-                if c[2] < len(c[0]) and c[0][c[2]][0] == pivot:
-                    score += c[0][c[2]][1]
-                    c[2] += 1
-            scored += 1
-            if score > 0 and (len(heap) < k or score > heap[0][0]):
-                heapq.heappush(heap, (score, -pivot, pivot))
+            kept.append(i)
+            if score > 0:
+                heapq.heappush(heap, score)
                 if len(heap) > k:
                     heapq.heappop(heap)
-        query = rows["query_id"][0]
-        return pa.Table.from_pydict(
-            {
-                "query_id": pa.array([query] * len(heap), pa.int64()),
-                "doc_id": pa.array([d for _, _, d in heap], pa.int64()),
-                "score": pa.array([s for s, _, _ in heap], pa.float64()),
-                "scored_docs": pa.array([scored] * len(heap), pa.int64()),
-            }
-        )
+        return docs.take(pa.array(kept, pa.int64())).select(["query_id", "slice", "doc_id", "score"])
 
     return run
 
@@ -143,17 +145,60 @@ def _walk(budget: int, k: int, blockwise: bool):
 def budgeted(
     docs: DataFrame, queries: DataFrame, strategy: Setting, scoring: Setting = Okapi(), k: int = 10
 ) -> DataFrame:
-    """Approximate top k that stops after ``top_k_budget`` scored documents of a query.
-
-    The walk is sequential, so a query's postings are one task's work; without
-    a budget use ``retrieve``, which spreads a query over all tasks.
+    """Approximate top k that stops after a budget of scored documents of a query.
+
+    A cursor walk scores a document if the bounds of its terms beat the k-th best
+    score before it.  What it skips can't be among the k best so far, so that
+    score is the one of all documents before, and slices of doc_ids are walked
+    apart, each from the best scores of the slices before it.  Running counts
+    of scored documents then tell where the budget ends.  Without a budget the
+    result is the exact one of ``pruned``; each document with a term is scored.
     """
     queries = queries.select(F.col("query_id").cast("long"), "term", "weight")
+    budget = strategy.top_k_budget
     hits = _hits(docs, queries, scoring)
-    walk = _walk(strategy.top_k_budget, k, isinstance(strategy, BlockMaxWand))
-    schema = "query_id long, doc_id long, score double, scored_docs long"
-    found = hits.select("query_id", "term", "doc_id", "part", F.col("own_bound").alias("bound")).groupBy("query_id").applyInArrow(walk, schema)
-    return top_k(found, k)
+    if not budget:
+        every = hits.groupBy("query_id").agg(F.count_distinct("doc_id").alias("scored_docs"))
+        return pruned(docs, queries, scoring, k).join(_small(every), "query_id")
+    placed = _reach(hits, isinstance(strategy, BlockMaxWand))
+    each = F.sort_array(F.collect_list(F.struct("term", "part", "reach")))
+    total = lambda name: F.aggregate("each", F.lit(0.0), lambda x, y: x + y[name])
+    by_doc = (
+        placed.groupBy("query_id", F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(each.alias("each"))
+        .select(
+            "query_id", F.floor(F.col("doc_id") / SLICE).alias("slice"), "doc_id",
+            total("reach").alias("bound"), total("part").alias("score"),
+        )
+    )
+    best = Window.partitionBy("query_id", "slice").orderBy(F.desc("score"), "doc_id")
+    tops = (
+        by_doc.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+        .groupBy("query_id", "slice")
+        .agg(F.filter(F.collect_list("score"), lambda x: x > 0).alias("best"))
+    )
+    slices = ["query_id", "slice"]
+    state = tops.groupBy("query_id").applyInArrow(
+        _before(k), "query_id long, slice long, best array<double>"
+    )
+    scored = by_doc.groupBy(*slices).cogroup(state.groupBy(*slices)).applyInArrow(
+        _in_slice(k), "query_id long, slice long, doc_id long, score double"
+    )
+    counts = scored.groupBy(*slices).agg(F.count("*").alias("_n"))
+    until = Window.partitionBy("query_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    starts = counts.select(*slices, (F.sum("_n").over(until) - F.col("_n")).alias("_start")).where(
+        F.col("_start") < budget
+    )
+    within = Window.partitionBy(*slices).orderBy("doc_id")
+    first = (
+        scored.withColumn("_at", F.row_number().over(within))
+        .join(starts, slices)
+        .where(F.col("_at") + F.col("_start") <= budget)
+    )
+    # at most ``budget`` rows of a query are left
+    query = Window.partitionBy("query_id")
+    counted = first.withColumn("scored_docs", F.count("*").over(query)).where("score > 0")
+    return top_k(counted.select("query_id", "doc_id", "score", "scored_docs"), k)
 
 
 def retrieve(

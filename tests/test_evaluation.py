@@ -2,9 +2,10 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 import lexicrate as lx
-from lexicrate.config import BM25Config, FusionConfig, Okapi, TokenizerConfig, Wand
+from lexicrate.config import BlockMaxWand, BM25Config, FusionConfig, Okapi, TokenizerConfig, Wand
 from lexicrate.errors import InvalidArgument
 from lexicrate.functions.scoring import field_factor
 from lexicrate.config import Bm25F, FieldWeight
@@ -14,6 +15,7 @@ from lexicrate.operators.search import WeightedQuery, effective_strategy, weight
 from lexicrate.operators.tables import number_rows
 from lexicrate.config import ExhaustiveDAAT, MaxScore, TfIdf
 from lexicrate.plans.reports import run_benchmark
+from lexicrate.plans import strategies
 from lexicrate.plans.strategies import budgeted
 from lexicrate.operators.tables import document_tokens
 from lexicrate.sources import datasets
@@ -162,3 +164,42 @@ def test_streams(spark, tmp_path):
     out.awaitTermination()
     assert spark.table("windowed").where("term = 'common'").agg({"n": "sum"}).first()[0] == 8
     assert spark.table("windowed").where("term = 'common'").count() == 4
+
+
+def _by_cursor(hits, strategy, k):
+    """(doc_id, score) of a plain walk: documents in order, with the bounds of their terms."""
+    block, lists, docs = 64, {}, {}
+    for h in sorted(hits, key=lambda h: (h.term, h.doc_id)):
+        lists.setdefault(h.term, []).append(h)
+    for post in lists.values():
+        for i, h in enumerate(post):
+            rest = post[i // block * block :] if isinstance(strategy, BlockMaxWand) else post
+            docs.setdefault(h.doc_id, []).append((max(r.own_bound for r in rest), h.part))
+    heap, scored = [], 0
+    for doc in sorted(docs):
+        least = heap[k - 1][0] if len(heap) >= k else 0.0
+        if scored < strategy.top_k_budget and sum(b for b, _ in docs[doc]) > least:
+            scored += 1
+            heap = sorted([*heap, (sum(p for _, p in docs[doc]), -doc)], reverse=True)[:k]
+    return scored, [(-d, round(s, 6)) for s, d in heap]
+
+
+@pytest.mark.parametrize("strategy", [Wand(30), BlockMaxWand(30), BlockMaxWand(100_000)])
+def test_budget_over_slices_equals_a_walk(spark, monkeypatch, strategy):
+    monkeypatch.setattr(strategies, "SLICE", 16)
+    texts = [(i, "x " * (1 + i * 7 % 5) + "y " * (i % 3) + "z " * (i * 5 % 11)) for i in range(400)]
+    tokens = document_tokens(spark.createDataFrame(texts, "doc_id long, text string"))
+    terms = weighted(spark, [("x", 1.0), ("y", 2.0)]).select(F.col("query_id").cast("long"), "term", "weight")
+    hits = strategies._hits(tokens, terms, Okapi()).collect()
+    scored, expected = _by_cursor(hits, strategy, 5)
+    out = budgeted(tokens, terms, strategy, Okapi(), 5).orderBy("rank").collect()
+    assert [(r.doc_id, round(r.score, 6)) for r in out] == expected
+    assert {r.scored_docs for r in out} == {scored}
+
+
+def test_budgets_have_no_group_of_a_whole_query(spark):
+    tokens = document_tokens(spark.createDataFrame([(i, "x y") for i in range(9)], "doc_id long, text string"))
+    terms = weighted(spark, [("x", 1.0)])
+    plan = lambda s: budgeted(tokens, terms, s)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan(Wand())
+    assert "FlatMapCoGroupsInArrow" in plan(Wand(5)) and "FlatMapCoGroupsInArrow" in plan(BlockMaxWand(5))

@@ -27,6 +27,7 @@ from .shared import documents
 LIMIT = 2048
 CACHE_PARTS = 250_000
 CACHE_STATES = 150_000
+CACHE_PAIRS = 500_000
 LONG_WORD = 200
 
 #: Unicode White_Space; unlike ``str.split()`` without U+001C to U+001F.
@@ -58,7 +59,8 @@ class PrefixCounter:
             b: chr(256 + i) for i, b in enumerate(hidden)
         }
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = regex.compile(split["pattern"]["Regex"])
+        self.words, self.finditer = pattern.findall, pattern.finditer
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = set(special)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
@@ -89,6 +91,8 @@ class PrefixCounter:
         out = self.kept_apart.get(key)
         if out is None:
             out = self._merge(before + token) == ([before, token] if before else [token])
+            if len(self.kept_apart) >= CACHE_PAIRS:
+                self.kept_apart.clear()
             self.kept_apart[key] = out
         return out
 
@@ -131,20 +135,40 @@ class PrefixCounter:
             self.counts[word] = n
         return n
 
-    def _long(self, word: str) -> int:
-        """The same table for a very long word, filled from its front."""
-        states = [("", 0)]
-
-        def last(i: int, suffix: str) -> tuple[str, int]:
-            for k in range(max(0, i - self.longest), i):
-                token = word[k:i] + suffix
-                if token in self.vocab and self._apart(states[k][0], token):
-                    return token, states[k][1] + 1
-            raise ValueError("a byte of this word has no token")
+    def _table(self, word: str) -> list[tuple[str, int]]:
+        """Last token and count of every prefix of a word that goes on, filled from its front."""
+        states, vocab, longest, apart = [("", 0)], self.vocab, self.longest, self._apart
+        for i in range(1, len(word) + 1):
+            for k in range(max(0, i - longest), i):
+                token = word[k:i]
+                if token in vocab and apart(states[k][0], token):
+                    states.append((token, states[k][1] + 1))
+                    break
+            else:
+                raise ValueError("a byte of this word has no token")
+        return states
+
+    def _ended(self, word: str, i: int, states: list[tuple[str, int]]) -> int:
+        """Tokens of ``word[:i]`` as a word of its own, from the table of the states before."""
+        for k in range(max(0, i - self.longest), i):
+            token = word[k:i] + self.end
+            if token in self.vocab and self._apart(states[k][0], token):
+                return states[k][1] + 1
+        raise ValueError("a byte of this word has no token")
 
-        for i in range(1, len(word)):
-            states.append(last(i, ""))
-        return last(len(word), self.end)[1]
+    def _long(self, word: str) -> int:
+        """The count of a very long word, without recursion."""
+        return self._ended(word, len(word), self._table(word[:-1]))
+
+    def word_prefixes(self, word: str) -> list[int]:
+        """Tokens of ``word[:1]``, ``word[:2]`` ... as words of their own."""
+        pieces = ["".join([self.shown[b] for b in c.encode()]) for c in word]
+        shown = "".join(pieces)
+        states, out, at = self._table(shown), [], 0
+        for piece in pieces:
+            at += len(piece)
+            out.append(self._ended(shown, at, states))
+        return out
 
     # -- texts ---------------------------------------------------------------
 
@@ -181,6 +205,67 @@ class PrefixCounter:
             counts.append(total)
         return ends, counts
 
+    def plain_prefixes(self, text: str) -> list[int]:
+        """Tokens of ``text[:i]`` for every i, for a normalized text without special tokens.
+
+        Splitting goes from the left, so the words before one are the same for
+        every prefix that ends in it.
+        """
+        out, before = [0] * (len(text) + 1), 0
+        for m in self.finditer(text):
+            a, b = m.span()
+            word = m.group()
+            if word[0] == "'" and len(word) > 1 and word[1].isalpha():  # a contraction: two or three characters
+                inner = [sum(map(self.word_count, self.words(word[:i]))) for i in range(1, b - a + 1)]
+            else:
+                inner = self.word_prefixes(word)
+            out[a + 1 : b + 1] = [before + n for n in inner]
+            before = out[b]
+        return out
+
+    def part_prefixes(self, part: str) -> list[int]:
+        """Tokens of ``part[:j]`` for every j, for a part without white space."""
+        out, before, seg = [0], 0, ""
+        pieces = self.cut.split(part) if "<|" in part else [part]
+        for piece in pieces:
+            if piece in self.special:
+                # inside a special token its beginning is plain text behind the segment
+                inner = self._segment(seg + piece)[len(seg) + 1 :]
+                out += [before + n for n in inner[:-1]]
+                before += (self._segment(seg)[-1] if seg else 0) + 1
+                out.append(before)
+                seg = ""
+            elif piece:
+                out += [before + n for n in self._segment(piece)[1:]]
+                seg = piece
+        return out
+
+    def _segment(self, part: str) -> list[int]:
+        """Tokens of every prefix of a part in which nothing is special."""
+        if part.isascii():
+            return self.plain_prefixes(part.lower())
+        # clusters that normalization may change as a whole, each apart from its neighbours
+        clusters: list[str] = []
+        if unicodedata.is_normalized("NFC", part):
+            clusters = list(part)
+        else:
+            nfc = unicodedata.normalize
+            for c in part:
+                last = clusters[-1] if clusters else ""
+                if last and (unicodedata.combining(c) or nfc("NFC", last + c) != nfc("NFC", last) + nfc("NFC", c)):
+                    clusters[-1] += c
+                else:
+                    clusters.append(c)
+        lowered = ["".join([c.lower() for c in unicodedata.normalize("NFC", x)]) for x in clusters]
+        whole, at, out, done = "".join(lowered), 0, [0], 0
+        counts = self.plain_prefixes(whole)
+        for cluster, low in zip(clusters, lowered, strict=True):
+            # within a cluster, the prefixes are other texts; there are few of them
+            out += [self._plain(part[: done + i]) for i in range(1, len(cluster))]
+            at, done = at + len(low), done + len(cluster)
+            out.append(counts[at])
+        return out
+
     def prefix_counts(self, text: str) -> list[int]:
         """The exact count of ``text[:i]`` for every i from 0 to the length."""
         out, before = [0] * (len(text) + 1), 0
@@ -188,23 +273,25 @@ class PrefixCounter:
         for part in self.split(text):
             start = text.index(part, at)
             out[at + 1 : start + 1] = [before] * (start - at)
-            for j in range(1, len(part) + 1):
-                out[start + j] = before + self.part_count(part[:j])
-            at, before = start + len(part), out[start + len(part)]
+            at = start + len(part)
+            out[start + 1 : at + 1] = [before + n for n in self.part_prefixes(part)[1:]]
+            before = out[at]
         out[at + 1 :] = [before] * (len(text) - at)
         return out
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """The most code points of ``text`` that make at most ``budget`` tokens."""
+        """The most code points of ``text`` that make at most ``budget`` tokens.
+
+        Counts up to the ends of parts never fall, so one part holds the answer;
+        its own table of prefixes gives it.
+        """
         at, before = 0, 0
         for part in self.split(text):
             start = text.index(part, at)
             n = self.parts[part]
             if before + n > budget:
-                inside = [
-                    j for j in range(1, len(part)) if before + self.part_count(part[:j]) <= budget
-                ]
-                return start + max(inside, default=0)
+                counts = self.part_prefixes(part)
+                return start + max(j for j, m in enumerate(counts) if j == 0 or before + m <= budget)
             at, before = start + len(part), before + n
         return len(text)
 
@@ -229,14 +316,16 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(
-    df: DataFrame, path: str, *, limit: int = LIMIT, with_prefixes: bool = False
+    df: DataFrame, path: str, *, limit: int = LIMIT, with_prefixes: bool = False,
+    with_budget: bool = False,
 ) -> DataFrame:
     """Tokens of every whole text of ``df(doc_id, text)``.
 
     Returns doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than
     ``limit``); with ``with_prefixes`` also prefix_ends and prefix_tokens, the
     end of every white-space separated part (code points) and the exact count
-    of the text up to there.  Null or empty text counts 0.  Rows stay one to
+    of the text up to there; with ``with_budget`` also budget_chars, the code
+    points of the longest prefix of at most ``limit`` tokens.  Null or empty text counts 0.  Rows stay one to
     one, repeated and null ids included; other columns of ``df`` are not read.
     """
 
@@ -245,7 +334,7 @@ def count_tokens(
 
         c = counter(path)
         for batch in batches:
-            bytes_, tokens, ends, counts = [], [], [], []
+            bytes_, tokens, ends, counts, fits = [], [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 bytes_.append(len(text.encode()) if not text.isascii() else len(text))
@@ -256,6 +345,9 @@ def count_tokens(
                     tokens.append(n[-1] if n else 0)
                 else:
                     tokens.append(c.count(text))
+                if with_budget:
+                    whole = tokens[-1] <= limit
+                    fits.append(len(text) if whole else c.longest_prefix(text, limit))
             arrays = [
                 batch.column(0),
                 pa.array(bytes_, pa.int64()),
@@ -266,16 +358,24 @@ def count_tokens(
             if with_prefixes:
                 arrays += [pa.array(x, pa.list_(pa.int32())) for x in (ends, counts)]
                 names += ["prefix_ends", "prefix_tokens"]
+            if with_budget:
+                arrays.append(pa.array(fits, pa.int64()))
+                names.append("budget_chars")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     if with_prefixes:
         schema += ", prefix_ends array<int>, prefix_tokens array<int>"
+    if with_budget:
+        schema += ", budget_chars long"
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def truncate_to_budget(df: DataFrame, path: str, budget: int) -> DataFrame:
-    """doc_id and the longest prefix of each text with at most ``budget`` tokens."""
+    """doc_id and the longest prefix of each text with at most ``budget`` tokens.
+
+    Null counts as empty.  Rows stay one to one; other columns are not read.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -296,4 +396,5 @@ def truncate_to_budget(df: DataFrame, path: str, budget: int) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return count_tokens(documents(spark, sf_dir), path, with_budget=True)

@@ -1,10 +1,13 @@
+import time
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexicrate.llm.token_counts import PrefixCounter, count_tokens, truncate_to_budget
+from lexicrate.llm import token_counts
+from lexicrate.llm.token_counts import PrefixCounter, count_tokens, op6_token_counts, truncate_to_budget
 
 from .helpers import frame, odd_texts, prose
 
@@ -38,6 +41,42 @@ def test_every_prefix_is_exact(counter, exact):
         assert counts == [exact(text[:e]) for e in ends]
 
 
+def test_every_prefix_of_odd_texts_is_exact(counter, exact):
+    @settings(max_examples=150, deadline=None)
+    @given(st.text(alphabet="abthesr éÉΣİ漢\n '\x1c<|startoftext|>12!.\u0301가ㄱ\u1161\u11a8", max_size=40))
+    def check(text):
+        assert counter.prefix_counts(text) == [exact(text[:i]) for i in range(len(text) + 1)]
+
+    check()
+
+
+def test_budget_within_a_megabyte_without_spaces(counter, exact):
+    text = "".join(prose(5, 2000).split())
+    text = (text * (1 + 1_000_000 // len(text)))[:1_000_000]
+    began = time.time()
+    n = counter.longest_prefix(text, 100_000)
+    assert time.time() - began < 60
+    assert exact(text[:n]) <= 100_000 < exact(text[: n + 40])
+    assert counter.count(text) == exact(text)
+
+
+def test_memory_of_pairs_is_bounded(monkeypatch, exact):
+    monkeypatch.setattr(token_counts, "CACHE_PAIRS", 10)
+    small = PrefixCounter(PATH)
+    assert small.count(prose(6, 100)) == exact(prose(6, 100))
+    assert len(small.kept_apart) <= 10
+
+
+def test_query_on_small_tables(spark, tmp_path, exact):
+    texts = [*odd_texts(), (20, prose(7, 3000))]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_token_counts(spark, str(tmp_path)).collect()
+    want = sorted((repr(i), len((t or "").encode()), exact(t or ""), exact(t or "") > 2048) for i, t in texts)
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
+    long = next(r for r in got if r.doc_id == 20)
+    assert exact(texts[-1][1][: long.budget_chars]) <= 2048 < exact(texts[-1][1][: long.budget_chars + 1])
+
+
 def test_long_words(counter, exact):
     for text in ["ab" * 500 + "c", "z" * 3000, "é" * 300]:
         assert counter.count(text) == exact(text)

@@ -26,11 +26,17 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
+    """The shared folder of the cluster, ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder in the warehouse, which a cluster shares too;
+    in local mode, as in tests, a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     return base.rstrip("/")
 
 
@@ -43,6 +49,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a ``staged`` table that is no longer read.
+
+    Other files of the table's plan, as those of the input, are never touched:
+    only folders right below the shared one count.
+    """
+    spark = df.sparkSession
+    base = shared_dir(spark)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/" not in path.split(base, 1)[-1].strip("/") and base in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 UNKNOWN_BYTES = 1 << 52
 MOST_BUCKETS = 1 << 22
 
@@ -138,13 +158,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def own_group(chunk: int, buckets: int) -> int:
-    """The group of a chunk's own row, behind the ``buckets`` of its keys.
+#: Chunks that one task may number, and items that one chunk may number.
+CHUNK_BITS, ITEM_BITS = 17, 20
+
 
-    There are as many groups as buckets, so both grow with the input; the whole
-    chunk number is hashed, as its low bits only count within a partition.
+def chunk_numbers() -> Iterator[int]:
+    """Numbers for the chunks of this task, apart from those of all other tasks.
+
+    They follow from the partition and the order of its rows.  Where a lost task
+    may read its rows in another order (below a shuffle), stage the input first.
     """
-    return buckets + int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(buckets))
+    from pyspark import TaskContext
+
+    base = TaskContext.get().partitionId() << CHUNK_BITS
+    for k in range(1 << CHUNK_BITS):
+        yield base + k
+    raise OverflowError(f"more than {1 << CHUNK_BITS} chunks in one task: use smaller partitions")
+
+
+def item_numbers(chunk: int, n: int) -> np.ndarray:
+    """Numbers for the ``n`` items of a chunk, apart from those of all other chunks."""
+    if n > 1 << ITEM_BITS or chunk >> (63 - ITEM_BITS):
+        raise OverflowError(f"{n} items in chunk {chunk} are more than numbers")
+    return (chunk << ITEM_BITS) + np.arange(n, dtype=np.int64)
+
+
+def own_group(chunk: int) -> int:
+    """The group of a chunk's own row: one for each chunk, beside the buckets (0 and up)."""
+    return -1 - chunk
+
+
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that clash with none of ``taken``."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 class WordHasher:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import dropped, staged
 
 
 def least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -17,11 +17,13 @@ def least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     least one among a node's neighbours goes to the node and to the node of its
     label, so that whole clusters hook onto each other.  Rounds go on until no
     label changes; then all nodes of a component agree.  Every round is a table
-    in the shared folder: lineage stays short and lost executors cost one round.
-    Returns (node, value).
+    in the shared folder: lineage stays short and lost executors cost one round;
+    tables of earlier rounds are deleted.  Returns (node, value, root): ``root`` is
+    the node of the least value, the same for all nodes of a component, and for
+    no others even where values repeat.
     """
     own = F.struct(F.col("value"), F.col("node").alias("at"))
-    labels = staged(nodes.select("node", own.alias("label")), "labels")
+    labels = held = staged(nodes.select("node", own.alias("label")), "labels")
     both = staged(
         links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links"
     )
@@ -49,7 +51,9 @@ def least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
             offers.groupBy("node").agg(F.max("old").alias("old"), F.min("least").alias("label")),
             "labels",
         )
-        labels = moved.select("node", "label")
+        dropped(jumped, held)
+        labels, held = moved.select("node", "label"), moved
         if moved.where(F.col("label") != F.col("old")).isEmpty():
             break
-    return labels.select("node", F.col("label.value").alias("value"))
+    dropped(both)
+    return labels.select("node", F.col("label.value").alias("value"), F.col("label.at").alias("root"))

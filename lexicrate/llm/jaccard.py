@@ -11,11 +11,14 @@ sets have to do with each other:
   (8n <= 9|S|) all link to each other.  They form one node with one answer, that
   of its smallest set.
 * *Index skipping*: the prefix of a set's rarest shared shingles is its index
-  entry.  The list of a shingle is cut into blocks by set size; only blocks whose
-  sizes can link meet, and positions in the lists bound the overlap.
+  entry.  The list of a shingle is cut into blocks by set size.  The position of
+  the shingle in a set bounds what may be in common from there on, and with it
+  the blocks that the set asks at all; it skips the others.
 * *Derived answers*: a set is first compared with a few pivots, those that it
-  shares most entries with.  Sets that link to a pivot take over its component,
-  and only pairs of sets from different components are compared afterwards.
+  shares most entries with.  Sets that link to a pivot take over its component;
+  only pairs of sets from different components are looked at afterwards, and
+  their overlap is derived from that of a very similar set and the difference
+  to it, where that decides.
 
 Hashing and set algebra run in numpy over packed blocks; Spark deals out, groups
 and joins them.  64-bit hashes stand for shingles.
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .components import least_labels
 from .shared import (
-    TextChunks, WordHasher, buckets_for, combine, documents, mix64, own_group, staged,
+    TextChunks, WordHasher, buckets_for, chunk_numbers, combine, documents, dropped, item_numbers, mix64,
+    own_group, staged,
 )
 
 WIDTH = 5
@@ -40,9 +44,11 @@ NO_ID = (1 << 63) - 1
 #: Pivots drawn in a list, how many of them a set is compared with, and how often.
 #: They only steer the order of the work: what they leave open is compared in full.
 PIVOTS, COMPARED, TURNS = 4, 6, 2
+#: Parts of a size block that entries may skip; entries of a list's part in one split.
+FINE, SPLIT = 8, 128
 
-PACKED = "bucket int, chunk long, keys binary, items binary, meta binary"
-SHARED = "chunk long, keys binary, items binary, levels binary, meta binary"
+PACKED = "bucket long, chunk long, keys binary, items binary, meta binary"
+SHARED = "chunk long, bucket long, keys binary, items binary, levels binary, meta binary"
 ITEMS = "item long, doc_ids array<long>, n long, s long, fp1 long, fp2 long, keys binary"
 
 
@@ -90,36 +96,24 @@ def _set_marks(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
         )
 
 
-def _ascending(values: np.ndarray) -> bytes:
-    """Ascending numbers as their differences, in a byte each where that does."""
-    steps = np.diff(values, prepend=0)
-    kind = np.uint8 if not len(steps) or steps.max() < 256 else np.uint32
-    return steps.astype(kind).tobytes()
-
-
-def _from_steps(blob: bytes, n: int) -> np.ndarray:
-    kind = np.uint8 if len(blob) == n else np.uint32
-    return np.cumsum(np.frombuffer(blob, kind), dtype=np.int64)
-
-
-def _pack(df: DataFrame, bits: int, width: int, groups: int) -> DataFrame:
+def _pack(df: DataFrame, bits: int, width: int) -> DataFrame:
     """The shingles of all sets, packed by chunk of text and bucket of hash.
 
-    Equal sets of a chunk are one item.  A chunk's last row (bucket 2**bits and
-    up, in ``groups`` groups at least) lists its documents.
+    Equal sets of a chunk are one item.  A shingle is sent once a chunk, with the
+    number of the chunk's items that hold it; which items these are stays with
+    the chunk's own row, a group of its own, which lists its documents too.  So
+    a shingle of all documents costs its bucket one entry a chunk.
     """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        hasher = WordHasher()
-        chunk = TaskContext.get().partitionId() << 24
+        hasher, chunks = WordHasher(), chunk_numbers()
         for batch in batches:
             ids = batch.column(0)
             ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in TextChunks(batch.column(1)):
-                n = hi - lo
+                chunk, n = next(chunks), hi - lo
                 rows, keys = shingle_sets(data, offsets, hasher, width)
                 size = np.bincount(rows, minlength=n)
                 mark, _ = _set_marks(keys, rows, n)
@@ -130,66 +124,107 @@ def _pack(df: DataFrame, bits: int, width: int, groups: int) -> DataFrame:
                 first, item = first[by_row], np.argsort(by_row)[item]
                 keep = np.isin(rows, first)
                 keys, items = keys[keep], item[rows[keep]]
-                bucket = (keys >> np.uint64(64 - bits)).astype(np.uint16)
-                order = np.argsort(bucket, kind="stable")
-                keys, items, bucket = keys[order], items[order], bucket[order]
+                order = np.argsort(keys, kind="stable")  # by bucket, as buckets are the leading bits
+                keys, items = keys[order], items[order]
+                begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+                held = np.diff(np.append(begin, len(keys)))
+                keys = keys[begin]
+                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
                 there, at = np.unique(bucket, return_index=True)
                 at = np.append(at, len(keys))
                 meta = np.concatenate(
-                    [[n, len(first)], ids[lo:hi], item, size[first]]
+                    [[n, len(first), len(keys)], ids[lo:hi], item, size[first]]
                 ).astype(np.int64)
                 out = (
-                    [*map(int, there), own_group(chunk, max(groups, 1 << bits))],
+                    [*map(int, there), own_group(chunk)],
                     [chunk] * (len(there) + 1),
                     [keys[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)] + [None],
-                    [_ascending(items[a:b]) for a, b in zip(at, at[1:], strict=False)] + [None],
+                    [_small(held[a:b]) for a, b in zip(at, at[1:], strict=False)] + [_own(held, items)],
                     [None] * len(there) + [meta.tobytes()],
                 )
-                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(out, types, strict=True)],
                     ["bucket", "chunk", "keys", "items", "meta"],
                 )
-                chunk += 1
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACKED)
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Numbers in a byte each where that does, else in four; the first byte tells."""
+    kind = np.uint8 if not len(values) or values.max() < 256 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def _from_small(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8 if blob[0] == 1 else np.uint32, offset=1).astype(np.int64)
+
+
+def _flags(which: np.ndarray) -> bytes:
+    return len(which).to_bytes(8, "little") + np.packbits(which).tobytes()
+
+
+def _from_flags(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return np.unpackbits(np.frombuffer(blob, np.uint8, offset=8), count=n).astype(bool)
+
+
+def _own(held: np.ndarray, items: np.ndarray) -> bytes:
+    """For every shingle of a chunk, in order, how many items hold it; then the items."""
+    import zstandard
+
+    counts, each = _small(held), _small(items)
+    raw = len(counts).to_bytes(8, "little") + counts + each
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _from_own(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    return _from_small(raw[8 : 8 + n]), _from_small(raw[8 + n :])
+
+
 def _shared(table):
-    """Of one bucket: the hashes that two sets or more hold, with their frequency."""
+    """Of one bucket: the hashes that two sets or more hold, with their frequency.
+
+    A chunk gets back which of its own hashes in this bucket these are.
+    """
     import pyarrow as pa
 
     chunks = table.column("chunk").to_pylist()
     metas = table.column("meta").to_pylist()
     blobs = table.column("keys").to_pylist()
     items = table.column("items").to_pylist()
-    out = ([], [], [], [], [])
+    out = ([], [], [], [], [], [])
     real = [k for k, m in enumerate(metas) if m is None]
     if real:
         parts = [np.frombuffer(blobs[k], np.uint64) for k in real]
         keys = np.concatenate(parts)
-        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        count = counts[inverse]
-        level = np.minimum(np.log2(count).astype(np.uint8), 255)
+        held = np.concatenate([_from_small(items[k]) for k in real])
+        _, inverse = np.unique(keys, return_inverse=True)
+        count = np.bincount(inverse, weights=held)[inverse]
+        level = np.log2(count).astype(np.uint8)
         edges = np.cumsum([0] + [len(p) for p in parts])
+        bucket = table.column("bucket")[real[0]].as_py()
         for k, a, b in zip(real, edges, edges[1:], strict=False):
             more = count[a:b] > 1
-            if more.any():
-                row = (
-                    chunks[k], keys[a:b][more].tobytes(),
-                    _ascending(_from_steps(items[k], b - a)[more]),
-                    level[a:b][more].tobytes(), None,
-                )
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
+            row = (
+                chunks[k], bucket, keys[a:b][more].tobytes(), _flags(more),
+                level[a:b][more].tobytes(), None,
+            )
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
     for k, m in enumerate(metas):
         if m is not None:
-            for column, value in zip(out, (chunks[k], None, None, None, m), strict=True):
+            for column, value in zip(out, (chunks[k], -1, None, items[k], None, m), strict=True):
                 column.append(value)
-    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.Table.from_arrays(
         [pa.array(x, t) for x, t in zip(out, types, strict=True)],
-        ["chunk", "keys", "items", "levels", "meta"],
+        ["chunk", "bucket", "keys", "items", "levels", "meta"],
     )
 
 
@@ -200,18 +235,21 @@ def _items(percent: int):
         import pyarrow as pa
 
         rows = table.to_pylist()
-        meta = np.frombuffer(next(r["meta"] for r in rows if r["meta"] is not None), np.int64)
-        n_docs, n_items = int(meta[0]), int(meta[1])
-        ids, item = meta[2 : 2 + n_docs], meta[2 + n_docs : 2 + 2 * n_docs]
-        size = meta[2 + 2 * n_docs :]
-        parts = [r for r in rows if r["meta"] is None]
+        own = next(r for r in rows if r["meta"] is not None)
+        meta = np.frombuffer(own["meta"], np.int64)
+        n_docs, n_items, n_keys = map(int, meta[:3])
+        ids, item = meta[3 : 3 + n_docs], meta[3 + n_docs : 3 + 2 * n_docs]
+        size = meta[3 + 2 * n_docs :]
+        held, items = _from_own(own["items"])
+        parts = sorted((r for r in rows if r["meta"] is None), key=lambda r: r["bucket"])
         join = lambda name, kind: np.concatenate(
             [np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in parts)]
         )
         keys, level = join("keys", np.uint64), join("levels", np.uint8)
-        owner = np.concatenate(
-            [np.zeros(0, np.int64), *(_from_steps(r["items"], len(r["levels"])) for r in parts)]
-        )
+        # which of the chunk's shingles, in order of hash and so bucket by bucket, are shared
+        shared = np.concatenate([np.zeros(0, bool), *(_from_flags(r["items"]) for r in parts)])
+        owner = items[np.repeat(shared, held)]
+        keys, level = np.repeat(keys, held[shared]), np.repeat(level, held[shared])
         s = np.bincount(owner, minlength=n_items)
         able = (size > 0) & (100 * s >= percent * size)
         keep = able[owner] if len(owner) else np.zeros(0, bool)
@@ -222,10 +260,9 @@ def _items(percent: int):
         edges = np.searchsorted(owner, np.arange(n_items + 1))
         by_item = np.argsort(item, kind="stable")
         cuts = np.searchsorted(item[by_item], np.arange(n_items + 1))
-        base = rows[0]["chunk"] << 22
         return pa.Table.from_arrays(
             [
-                pa.array(base + np.arange(n_items, dtype=np.int64)),
+                pa.array(item_numbers(own["chunk"], n_items)),
                 pa.array(
                     [np.sort(ids[by_item[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)],
                     pa.list_(pa.int64()),
@@ -249,7 +286,13 @@ def _items(percent: int):
 
 
 def _entries(percent: int):
-    """Index entries of nodes: the prefix that any linking set must meet."""
+    """Index entries of nodes: the prefix that any linking set must meet.
+
+    ``rest`` is how many of the set's shared shingles stand at ``place`` or behind
+    it.  Sizes fall into blocks of which two that link differ by one at most, and
+    into ``FINE`` parts of each; the parts that an entry can meet, from its own
+    size up, end where ``rest`` no longer makes enough in common (``last``).
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -263,66 +306,108 @@ def _entries(percent: int):
             total = int(length.sum())
             at = np.repeat(np.arange(len(n)), length)
             place = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-            block = np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int32)
+            part = lambda x: np.floor(np.log(np.maximum(x, 1)) / step * FINE).astype(np.int32)
+            rest = s[at] - place
+            # n + other <= (100 + percent) * rest / percent, and other <= 100 * n / percent
+            most = np.minimum(rest * (100 + percent) // percent - n[at], 100 * n[at] // percent)
+            last = np.where(most >= n[at], part(most), -1)
             taken = [k[:x] for k, x in zip(keys, length, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([np.zeros(0, np.int64), *taken])),
-                    pa.array(node[at]), pa.array(n[at]), pa.array(s[at]),
-                    pa.array(place.astype(np.int64)), pa.array(block[at]),
+                    pa.array(node[at]), pa.array(n[at]), pa.array(s[at]), pa.array(rest),
+                    pa.array((part(n) // FINE)[at]), pa.array(part(n)[at]), pa.array(last.astype(np.int32)),
                 ],
-                ["key", "node", "n", "s", "place", "block"],
+                ["key", "node", "n", "s", "rest", "block", "fine", "last"],
             )
 
     return run
 
 
-def _verify(percent: int):
-    """Pairs of nodes with both sets: those that link."""
+def _overlaps(batches) -> Iterator:
+    """Pairs of nodes with both sets: how much these have in common."""
+    import pyarrow as pa
 
-    def run(batches) -> Iterator:
-        import pyarrow as pa
+    for batch in batches:
+        both = [
+            len(np.intersect1d(
+                np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True
+            ))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(both, pa.int64())], ["a", "b", "common"]
+        )
 
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            ka, kb = batch.column(4), batch.column(5)
-            both = np.array(
-                [
-                    len(np.intersect1d(
-                        np.frombuffer(x.as_py(), np.uint64),
-                        np.frombuffer(y.as_py(), np.uint64),
-                        assume_unique=True,
-                    ))
-                    for x, y in zip(ka, kb, strict=True)
-                ],
-                np.int64,
-            )
-            good = 100 * both >= percent * (n - both)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[good]), pa.array(b[good])], ["a", "b"]
-            )
 
-    return run
+def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, common) of the given pairs of nodes, from their sets."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("keys").alias(f"k_{x}"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "k_a", "k_b").mapInArrow(_overlaps, "a long, b long, common long")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(
-        F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"k_{x}")
+        F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")
+    )
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _link(common, percent: int):
+    return common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common) of the pairs whose sets link, each compared in full."""
+    found = _sizes(_compared(pairs, nodes), nodes)
+    return found.where(_link(F.col("common"), percent)).select("a", "b", "common")
+
+
+def _derived(pairs: DataFrame, nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that link, by answers of a very similar set where there is one.
+
+    The lead of ``a`` is the set it links to that most others link to.  What the
+    lead has in common with ``b`` is worked out once for all sets that it leads;
+    what ``a`` has in common with ``b`` differs from it by no more than the lead's
+    own part and ``a``'s own part.  Only pairs that these bounds leave open are
+    compared themselves.
+    """
+    ways = links.select(F.col("a").alias("node"), F.col("b").alias("lead"), "common").unionByName(
+        links.select(F.col("b").alias("node"), F.col("a").alias("lead"), "common")
     )
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(
-        _verify(percent), "a long, b long"
+    degree = ways.groupBy("lead").agg(F.count("*").alias("degree"))
+    leads = (
+        ways.join(degree, "lead").groupBy("node")
+        .agg(F.max(F.struct("degree", "common", (-F.col("lead")).alias("back"))).alias("m"))
+        .where("m.degree > 1")
+        .select(F.col("node").alias("a"), (-F.col("m.back")).alias("lead"), F.col("m.common").alias("with_lead"))
     )
+    sized = _sizes(pairs, nodes).join(leads, "a", "left")
+    asked = sized.where("lead is not null").select(F.col("lead").alias("a"), "b").distinct()
+    answers = staged(_compared(asked, nodes), "answers")
+    lead_sizes = nodes.select(F.col("node").alias("lead"), F.col("s").alias("s_lead"))
+    known = answers.select(F.col("a").alias("lead"), "b", F.col("common").alias("lead_common"))
+    judged = staged(
+        sized.join(lead_sizes, "lead", "left").join(known, ["lead", "b"], "left").select(
+            "a", "b",
+            F.coalesce(_link(F.col("lead_common") - (F.col("s_lead") - F.col("with_lead")), percent), F.lit(False))
+            .alias("sure"),
+            F.coalesce(~_link(F.col("lead_common") + (F.col("s_a") - F.col("with_lead")), percent), F.lit(False))
+            .alias("never"),
+        ),
+        "judged",
+    )
+    open_ = _linked(judged.where("not sure and not never"), nodes, percent)
+    return judged.where("sure").select("a", "b").unionByName(open_.select("a", "b"))
 
 
 def _open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of the lists on which different components meet, with their component."""
-    placed = entries.join(labels, "node")
+    placed = entries.join(labels.select("node", "root"), "node")
     meeting = (
         placed.groupBy("key")
-        .agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low < high")
         .select("key")
     )
@@ -337,7 +422,7 @@ def _pivot_pairs(left: DataFrame, turn: int) -> DataFrame:
         F.min(
             F.struct(
                 F.pmod(F.xxhash64("node", F.lit(turn * PIVOTS + i)), F.lit(2)),
-                F.col("n") - F.col("s"), "node", "value",
+                F.col("n") - F.col("s"), "node", "root",
             )
         )
         for i in range(PIVOTS)
@@ -345,17 +430,17 @@ def _pivot_pairs(left: DataFrame, turn: int) -> DataFrame:
     pivots = (
         left.groupBy("key", "block")
         .agg(
-            F.max("value").alias("high"), F.min("value").alias("low"),
+            F.max("root").alias("high"), F.min("root").alias("low"),
             F.array_distinct(F.array(*drawn)).alias("drawn"),
         )
         .where("low < high")
         .select("key", "block", F.explode("drawn").alias("d"))
-        .select("key", "block", F.col("d.node").alias("pivot"), F.col("d.value").alias("other"))
+        .select("key", "block", F.col("d.node").alias("pivot"), F.col("d.root").alias("other"))
     )
     by_common = Window.partitionBy("node").orderBy(F.desc("common"), "pivot")
     return (
         left.join(pivots, ["key", "block"])
-        .where("value != other")
+        .where("root != other")
         .groupBy("node", "pivot").agg(F.count("*").alias("common"))
         .withColumn("rank", F.row_number().over(by_common))
         .where(F.col("rank") <= COMPARED)
@@ -364,6 +449,42 @@ def _pivot_pairs(left: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def _meeting_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets of different components that the index can't rule out.
+
+    An entry skips all blocks of a list whose sizes its position rules out, before
+    any join.  Long blocks are split by salt; who asks them asks every split.
+    """
+    index = left.select(
+        "key", F.col("fine").alias("block"), F.col("node").alias("node2"), F.col("n").alias("n2"),
+        F.col("rest").alias("rest2"), F.col("root").alias("root2"),
+    )
+    parts = index.groupBy("key", "block").agg(
+        F.ceil(F.count("*") / SPLIT).cast("int").alias("splits"),
+        F.min("root2").alias("low"), F.max("root2").alias("high"),
+    )
+    index = index.join(parts.where("splits > 1").select("key", "block", "splits"), ["key", "block"], "left")
+    index = index.withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64("node2"), F.col("splits")), F.lit(0)).cast("int")
+    ).drop("splits")
+    ask = (
+        left.where("last >= fine")
+        .select("key", "node", "n", "rest", "root", F.explode(F.sequence("fine", "last")).alias("block"))
+        .join(parts, ["key", "block"])
+        .where("root != low or root != high")
+        .select("key", "block", "node", "n", "rest", "root", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"))
+    )
+    met = ask.join(index, ["key", "block", "salt"]).where(
+        (F.col("root") != F.col("root2"))
+        & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2"))))
+        # at the first entry in common, what lies behind it on either side must be enough
+        & (F.least("rest", "rest2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
+    )
+    return met.select(
+        F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
+    ).distinct()
+
+
 def jaccard_classes(
     df: DataFrame, *, width: int = WIDTH, percent: int = 80, bucket_bytes: int = 256 << 10
 ) -> DataFrame:
@@ -371,14 +492,15 @@ def jaccard_classes(
 
     Returns doc_id, n_shingles and component_id, the smallest doc_id reachable
     by links.  Null or empty text, or one without words, has an empty set and is
-    linked with nothing.  Repeated rows stay rows of their own with the same
+    linked with nothing.  A very long text is one row of its own chunk.  Repeated rows stay rows of their own with the same
     component.  A null id stays null; its component is the smallest id of its
-    class, null if it has none.  Other columns are not read.
+    class, null if it has none.  Other columns are not read, so clashing names
+    don't matter.  Chunks are numbered by partition and order: where ``df`` comes
+    out of a shuffle, stage it first.
     """
-    groups = buckets_for(df, bucket_bytes)
-    bits = min(16, max(8, math.ceil(math.log2(groups))))
+    bits = max(8, math.ceil(math.log2(buckets_for(df, bucket_bytes))))
     items = staged(
-        _pack(df, bits, width, groups)
+        _pack(df, bits, width)
         .groupBy("bucket").applyInArrow(_shared, SHARED)
         .groupBy("chunk").applyInArrow(_items(percent), ITEMS),
         "items",
@@ -411,45 +533,31 @@ def jaccard_classes(
     )
     entries = staged(
         nodes.select("node", "n", "s", "keys").mapInArrow(
-            _entries(percent), "key long, node long, n long, s long, place long, block int"
+            _entries(percent), "key long, node long, n long, s long, rest long, block int, fine int, last int"
         ),
         "entries",
     )
-    labels, links = nodes.select("node", "value"), None
+    labels, links = nodes.select("node", "value", F.col("node").alias("root")), None
     for turn in range(TURNS):
         left = _open_lists(entries, labels)
         if left.isEmpty():
             break
-        found = staged(_linked(staged(_pivot_pairs(left, turn), "pairs"), nodes, percent), "links")
+        pairs = staged(_pivot_pairs(left, turn), "pairs")
+        found = staged(_linked(pairs, nodes, percent), "links")
+        dropped(left, pairs)
         links = found if links is None else links.unionByName(found)
         labels = staged(least_labels(nodes.select("node", "value"), links), "components")
 
     # What is left: pairs of sets from different components, all of them.
     left = _open_lists(entries, labels)
-    one = left.select(
-        "key", "block", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "s", "place", "value"))
-    )
-    # a set meets its own block and the next one; the other side covers the one before
-    two = left.select(
-        "key", F.explode(F.array("block", F.col("block") - 1)).alias("block"),
-        (F.col("block")).alias("own"),
-        *(F.col(c).alias(f"{c}2") for c in ("node", "n", "s", "place", "value")),
-    )
-    # At the first entry in common, what lies behind it on either side must be enough.
-    at_most = F.least(F.col("s1") - F.col("place1"), F.col("s2") - F.col("place2"))
-    meet = one.join(two, ["key", "block"]).where(
-        (F.col("value1") != F.col("value2"))
-        & ((F.col("own") != F.col("block")) | (F.col("node1") < F.col("node2")))
-        & (at_most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
-    )
-    pairs = meet.select(
-        F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")
-    ).distinct()
-    more = staged(_linked(staged(pairs, "pairs"), nodes, percent), "links")
-    if not more.isEmpty():
-        labels = staged(
-            least_labels(nodes.select("node", "value"), links.unionByName(more)), "components"
-        )
+    if not left.isEmpty():
+        pairs = staged(_meeting_pairs(left, percent), "pairs")
+        more = staged(_derived(pairs, nodes, links, percent), "links")
+        dropped(left, pairs)
+        if not more.isEmpty():
+            every = links.select("a", "b").unionByName(more)
+            labels = staged(least_labels(nodes.select("node", "value"), every), "components")
+    dropped(entries)
 
     found = member.join(labels, "node").select("item", F.col("value").alias("component"))
     joined = items.drop("keys").join(found, "item", "left")

@@ -46,21 +46,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_path = path
+    return out
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a ``staged`` table that is no longer read.
 
-    Other files of the table's plan, as those of the input, are never touched:
-    only folders right below the shared one count.
-    """
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/" not in path.split(base, 1)[-1].strip("/") and base in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of ``staged`` tables that are no longer read."""
+    for df in tables:
+        spark, path = df.sparkSession, df._staged_path
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 UNKNOWN_BYTES = 1 << 52

@@ -9,7 +9,7 @@ def labels(spark, ids, links):
     """Labels of nodes 0, 1, ... whose values are ``ids``."""
     nodes = spark.createDataFrame(list(enumerate(ids)), "node long, value long")
     out = least_labels(nodes, spark.createDataFrame(links, "a long, b long"))
-    return dict(out.collect())
+    return {r.node: r.value for r in out.collect()}
 
 
 def test_shuffled_chain_is_one_component(spark):
@@ -27,3 +27,9 @@ def test_ascending_halves_are_one_component(spark, halves):
     ids = [halves * i + h for h in range(halves) for i in range(200 // halves)]
     got = labels(spark, ids, [(i, i + 1) for i in range(len(ids) - 1)])
     assert set(got.values()) == {0}
+
+
+def test_equal_values_are_told_apart_by_root(spark):
+    nodes = spark.createDataFrame([(0, 9), (1, 9), (2, 9), (3, 5)], "node long, value long")
+    out = least_labels(nodes, spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")).collect()
+    assert {r.node: (r.value, r.root) for r in out} == {0: (9, 0), 1: (9, 0), 2: (5, 3), 3: (5, 3)}

@@ -1,9 +1,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
-from lexicrate.llm.jaccard import jaccard_classes
+from lexicrate.llm import jaccard
+from lexicrate.llm.jaccard import jaccard_classes, op5_ngram_jaccard_join
+from lexicrate.llm.shared import CHUNK_BITS, ITEM_BITS, item_numbers
 
 from .helpers import LOWER, SPACED, frame, odd_texts, prose
 
@@ -80,5 +83,58 @@ def test_chain_of_small_steps(spark):
     assert got(spark, texts) == brute(texts)
 
 
+def test_unlinked_null_ids_still_link_on(spark):
+    """Nulls share a value, yet a chain through them reaches the known id at its end."""
+    words = prose(8, 200).split(" ")
+    texts = []
+    for k in range(12):
+        words = words[2:] + [f"new{k}a", f"new{k}b"]
+        texts.append((5 if k == 11 else None, " ".join(words)))
+    texts.append((None, prose(77, 60)))
+    out = [r.component_id for r in jaccard_classes(frame(spark, texts)).collect()]
+    assert sorted(out, key=repr) == [5] * 12 + [None]
+
+
+@pytest.mark.parametrize("turns", [0, 1])
+def test_what_pivots_leave_open(spark, monkeypatch, turns):
+    """With few or no pivots, skipping, splits and derived answers do the work."""
+    monkeypatch.setattr(jaccard, "TURNS", 1)
+    monkeypatch.setattr(jaccard, "COMPARED", turns)
+    monkeypatch.setattr(jaccard, "SPLIT", 2)
+    texts, n = [], 0
+    for g in range(3):
+        base = prose(100 + g, 150)
+        for k in range(12):
+            texts.append((n, edited(base, n, k // 2)))
+            n += 1
+    passage = prose(999, 90)
+    for k in range(12):
+        texts.append((n, passage + " " + prose(5000 + 31 * k, 8 + k)))
+        n += 1
+    assert got(spark, texts) == brute(texts)
+
+
+def test_large_numbers():
+    far = (1_000_000 << CHUNK_BITS) + 5  # a task far beyond a 100 TB input's
+    assert item_numbers(far, 3).tolist() == [(far << ITEM_BITS) + i for i in range(3)]
+    with pytest.raises(OverflowError):
+        item_numbers(far, (1 << ITEM_BITS) + 1)
+
+
+@pytest.mark.parametrize("values", [[], [1, 2, 255], [1, 256, 70_000]])
+def test_packed_numbers(values):
+    x = np.array(values, np.int64)
+    assert jaccard._from_small(jaccard._small(x)).tolist() == values
+    assert [a.tolist() for a in jaccard._from_own(jaccard._own(x, x[::-1]))] == [values, values[::-1]]
+    assert jaccard._from_flags(jaccard._flags(x > 100)).tolist() == [v > 100 for v in values]
+
+
+def test_query_on_small_tables(spark, tmp_path):
+    texts = odd_texts()
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op5_ngram_jaccard_join(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute(texts)
+
+
 def test_empty_table(spark):
     assert jaccard_classes(frame(spark, [])).count() == 0

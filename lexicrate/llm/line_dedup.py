@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import (
-    TextChunks, WordHasher, buckets_for, byte_class, documents, mix64, own_group, staged,
+    TextChunks, WordHasher, buckets_for, byte_class, chunk_numbers, documents, fresh_names, mix64,
+    own_group, staged,
 )
 
 GRAM_WORDS, RUN_WORDS = 20, 40
@@ -36,7 +37,7 @@ NO_ID = (1 << 63) - 1
 STOPS = byte_class(b".!?")
 CHUNK = 2 << 20
 
-BLOCKS = "bucket int, chunk long, keys binary, docs binary, places binary, at binary, own binary"
+BLOCKS = "bucket long, chunk long, keys binary, docs binary, places binary, at binary, own binary"
 CUTS = "id long, text_hash long, spans array<int>, words long"
 _NAMES = ("bucket", "chunk", "keys", "docs", "places", "at", "own")
 
@@ -176,7 +177,7 @@ def _arrays(blob: bytes) -> list[np.ndarray]:
 def _table(rows: list[tuple]):
     import pyarrow as pa
 
-    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
     return pa.Table.from_arrays(
         [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], list(_NAMES)
@@ -201,21 +202,18 @@ def _read(df: DataFrame, gram: int, run_words: int, buckets: int) -> DataFrame:
     """Fingerprints of every chunk, dealt by hash, and its texts in a row of their own."""
 
     def run(batches) -> Iterator:
-        from pyspark import TaskContext
-
-        hasher = WordHasher(lower=False)
-        chunk = TaskContext.get().partitionId() << 24
+        hasher, chunks = WordHasher(lower=False), chunk_numbers()
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             hashes = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in TextChunks(batch.column(1), CHUNK):
+                chunk = next(chunks)
                 _, value = _words(data, offsets, hasher).fingerprints(gram, run_words)
                 keys, n = np.unique(value, return_counts=True)
                 rows = _deal(keys, [np.minimum(n, 2).astype(np.uint8)], buckets, chunk)
                 own = _blob(ids[lo:hi], hashes[lo:hi], offsets, data=data.tobytes())
-                rows.append((own_group(chunk, buckets), chunk, None, None, None, None, own))
+                rows.append((own_group(chunk), chunk, None, None, None, None, own))
                 yield from _table(rows).to_batches()
-                chunk += 1
 
     return df.select(
         F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")
@@ -273,7 +271,7 @@ def _extend(gram: int, run_words: int, buckets: int):
         # a place that isn't the chunk's own first one is later in any case
         late = (ids[row] != ids[row][lead][inverse]) | (place != place[lead][inverse])
         deal.append(
-            (own_group(chunk, buckets), chunk, None, None, None, None,
+            (own_group(chunk), chunk, None, None, None, None,
              _blob(ids, hashes, words.per_row, first[late]))
         )
         return _table(deal)
@@ -386,19 +384,26 @@ def dedup_lines(
     """``df`` with later repeats of runs of words removed from ``text``.
 
     Adds removed_lines (places among the lines with a word; those of which no
-    word is left) and removed_words.  A run of ``run_words`` words or more that
-    stood earlier, in a document of smaller doc_id or before in the same one, is
-    always removed, wherever it starts or ends in a line; one under
-    ``gram_words`` never is.  Texts from which nothing is removed stay as they
-    are, null and empty ones too.  A null doc_id counts as the largest; rows of
-    the same doc_id and text are one document.  All other columns pass through.
+    word is left) and removed_words; columns of these names are replaced.  A run
+    of ``run_words`` words or more that stood earlier, in a document of smaller
+    doc_id or before in the same one, is always removed, wherever it starts or
+    ends in a line; one under ``gram_words`` never is.  Texts from which nothing
+    is removed stay as they are, null and empty ones too.  A null doc_id counts
+    as the largest; rows of the same doc_id and text are one document.  All other
+    columns pass through, whatever their names.  Words are compared by 64-bit
+    hashes of grams.  Chunks are numbered by partition and order: where ``df``
+    comes out of a shuffle, stage it first.
     """
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("removed_lines", "removed_words")])
     cuts = staged(repeated_words(df, gram_words=gram_words, run_words=run_words), "cuts")
     names = df.columns
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")]
-    cuts = cuts.toDF("_id", "_hash", "removed_lines", "removed_words")
-    joined = df.withColumns({"_d": key[0], "_h": key[1]}).join(
-        cuts, (F.col("_d") == F.col("_id")) & (F.col("_h") == F.col("_hash")), "left"
+    by_id, by_hash, c_id, c_hash = fresh_names(
+        [*names, "removed_lines", "removed_words"], "doc_key", "hash_key", "cut_id", "cut_hash"
+    )
+    cuts = cuts.toDF(c_id, c_hash, "removed_lines", "removed_words")
+    keys = {by_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), by_hash: F.xxhash64("text")}
+    joined = df.withColumns(keys).join(
+        cuts, (F.col(by_id) == F.col(c_id)) & (F.col(by_hash) == F.col(c_hash)), "left"
     )
     none = F.array().cast("array<int>")
     # spans of words; the lines follow from the text

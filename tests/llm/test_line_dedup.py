@@ -1,8 +1,11 @@
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexicrate.llm.line_dedup import dedup_lines
+from lexicrate.llm.line_dedup import _words, dedup_lines, op4_line_dedup, repeated_words, without
+from lexicrate.llm.shared import WordHasher
 
 from .helpers import SPACED, frame, odd_texts, prose
 
@@ -128,3 +131,113 @@ def test_cuts_keep_line_breaks(spark):
     out = {r.doc_id: r for r in dedup_lines(frame(spark, texts)).collect()}
     assert out[1].text == "Own head\nnext line." and out[1].removed_lines == []
     assert out[2].text == "Head.\nown tail.\nEnd." and out[2].removed_words == 45
+
+
+def brute_spans(texts, gram=20, run=40):
+    """(doc_id, spans) of what goes, by plain loops over words; only the hash is the library's."""
+    hasher, no_id = WordHasher(lower=False), (1 << 63) - 1
+    docs = []
+    for i, t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        w = SPACED.findall(t or "")
+        value = []
+        if len(w) >= gram:
+            value = _words(data, np.array([0, len(data)]), hasher).hash(np.arange(len(w) - gram + 1), gram).tolist()
+        kept = set()
+        for a in range(max(1, len(w) - run + 1)):
+            window = range(a, min(a + run - gram + 1, len(value)))
+            low = min((value[j] for j in window), default=None)
+            kept |= {j for j in window if value[j] == low}
+        docs.append((no_id if i is None else i, w, value, kept))
+    count = {}
+    for _, _, value, kept in docs:
+        for j in kept:
+            count[value[j]] = count.get(value[j], 0) + 1
+    found, first = [], {}
+    for i, w, value, kept in docs:
+        zone = set()
+        for j in kept:
+            if count[value[j]] > 1:
+                zone.update(range(max(0, j - run), min(len(w), j + gram + run)))
+        grams = [j for j in range(len(value)) if all(x in zone for x in range(j, j + gram))]
+        found.append((i, w, grams))
+        for j in grams:
+            key = tuple(w[j : j + gram])
+            first[key] = min(first.get(key, (i, j)), (i, j))
+    out = set()
+    for i, w, grams in found:
+        gone = set()
+        for j in grams:
+            if first[tuple(w[j : j + gram])] != (i, j):
+                gone.update(range(j, j + gram))
+        spans = []
+        for x in sorted(gone):
+            if spans and spans[-1] == x:
+                spans[-1] = x + 1
+            else:
+                spans += [x, x + 1]
+        if spans:
+            out.add((i, tuple(spans)))
+    return out
+
+
+def planted(seed):
+    """Texts that share runs of 15 to 70 words, in and across lines, within and between texts."""
+    base = [prose(900 + seed + k, 70).split(" ") for k in range(4)]
+    texts = []
+    for i in range(24):
+        words = prose(3000 + 50 * seed + i, 120).split(" ")
+        run = base[i % 4][: 15 + (i * 7) % 56]
+        at = (i * 13) % 100
+        words[at:at] = run
+        if i % 6 == 0:
+            words += ["and", *run]
+        texts.append((i, " ".join(words)))
+    return texts
+
+
+@pytest.mark.parametrize("texts", [planted(1), planted(2), odd_texts()], ids=["one", "two", "odd"])
+def test_spans_equal_brute_force(spark, texts):
+    out = repeated_words(frame(spark, texts)).collect()
+    assert {(r.id, tuple(r.spans)) for r in out} == brute_spans(texts)
+
+
+@pytest.mark.parametrize(
+    "text, spans, left",
+    [
+        ("a b c d", [0, 2], "c d"),
+        ("a b c d", [1, 3], "a d"),
+        ("a b. c d. e f", [2, 4], "a b. e f"),
+        ("a b\nc d\ne f", [2, 4], "a b\ne f"),
+        ("a b\nc d", [3, 4], "a b\nc"),
+        ("a b\n\nc d", [1, 3], "a d"),
+        ("a b", [0, 2], ""),
+        ("é ñ x", [0, 1], "ñ x"),
+    ],
+)
+def test_cut_texts(text, spans, left):
+    assert without(text, np.array(spans))[0] == left
+
+
+def test_clashing_columns(spark):
+    df = frame(spark, planted(1))
+    names = ["removed_lines", "_id", "_hash", "removed_words", "_d", "_h", "doc_key", "cut_id", "hash_key", "cut_hash"]
+    clash = dedup_lines(df.withColumns({c: F.lit("mine") for c in names}))
+    assert clash.columns == [
+        *df.columns, *(c for c in names if not c.startswith("removed")), "removed_lines", "removed_words",
+    ]
+    assert {r[0] for r in clash.select("_id").collect()} == {"mine"}
+    plain = {(r.doc_id, r.text) for r in dedup_lines(df).collect()}
+    assert {(r.doc_id, r.text) for r in clash.collect()} == plain
+
+
+def test_query_on_small_tables(spark, tmp_path):
+    texts = planted(3)
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: spans for i, spans in brute_spans(texts)}
+    got = {r.doc_id: r for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts:
+        spans = np.array(want.get(i, []), int)
+        assert got[i].n_removed_words == int((spans[1::2] - spans[::2]).sum())
+        assert got[i].text == (without(t, spans)[0] if len(spans) else t)

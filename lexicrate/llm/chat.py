@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, fresh_names
 
 END_MARK = "<|end|>"
 TURN = "struct<role:string,text:string>"
@@ -61,29 +61,33 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     ``chosen`` and ``rejected`` are arrays of (role, text); null arrays count as
     empty, null roles and texts as "".  Where one conversation is the start of
     the other its completion is empty, and so is its mask.  All other columns
-    pass through.
+    pass through, whatever their names, but for columns of the results' names,
+    which are replaced.  Rows stay one to one, repeated ones included.
     """
+    results = ["n_common", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask"]
     clean = lambda c: F.transform(
-        F.coalesce(F.col(c), F.array().cast(f"array<{TURN}>")),
+        F.coalesce(F.col(f"`{c}`"), F.array().cast(f"array<{TURN}>")),
         lambda t: F.struct(
             F.coalesce(t["role"], F.lit("")).alias("role"),
             F.coalesce(t["text"], F.lit("")).alias("text"),
         ),
     )
-    others = [c for c in pairs.columns if c not in (chosen, rejected)]
-    df = pairs.select(*others, clean(chosen).alias("_a"), clean(rejected).alias("_b"))
-    df = df.withColumn("n_common", common_turns(F.col("_a"), F.col("_b")))
+    others = [c for c in pairs.columns if c not in (chosen, rejected, *results)]
+    a, b, p = fresh_names([*others, *results], "left_turns", "right_turns", "common_turns")
+    others = [F.col(f"`{c}`") for c in others]
+    df = pairs.select(*others, clean(chosen).alias(a), clean(rejected).alias(b))
+    df = df.withColumn("n_common", common_turns(F.col(a), F.col(b)))
     rest = lambda c: F.slice(c, F.col("n_common") + 1, F.greatest(F.size(c), F.lit(1)))
     df = df.select(
         *others, "n_common",
-        F.slice("_a", F.lit(1), F.col("n_common")).alias("_p"),
-        rest("_a").alias("_a"), rest("_b").alias("_b"),
+        F.slice(a, F.lit(1), F.col("n_common")).alias(p),
+        rest(a).alias(a), rest(b).alias(b),
     )
     return df.select(
         *others, "n_common",
-        render(F.col("_p")).alias("prompt"),
-        render(F.col("_a")).alias("chosen"), mask(F.col("_a")).alias("chosen_mask"),
-        render(F.col("_b")).alias("rejected"), mask(F.col("_b")).alias("rejected_mask"),
+        render(F.col(p)).alias("prompt"),
+        render(F.col(a)).alias("chosen"), mask(F.col(a)).alias("chosen_mask"),
+        render(F.col(b)).alias("rejected"), mask(F.col(b)).alias("rejected_mask"),
     )
 
 

@@ -22,8 +22,8 @@ from .words import word_array
 
 WINDOW = 10
 GRAM = 5
-#: Rows up to which a side may be broadcast; beyond it the join shuffles.
-BROADCAST_FINGERPRINTS = 50_000
+#: Rows and bytes up to which a side may be broadcast; beyond them the join shuffles.
+BROADCAST_FINGERPRINTS, BROADCAST_BYTES = 50_000, 32 << 20
 BROADCAST_KEYS = 100_000
 
 
@@ -162,14 +162,20 @@ def decontaminate(
         exact = items.where(F.size(word_array(F.col("text"))) == m)
         own = _fingerprints(exact, ["item_id"], gram, window, [m])
         marks = marks.unionByName(own)
+    # Equal grams with equal surroundings are one row, however many items hold them.
+    around = ["fingerprint", "width", "item_middle", "item_left", "item_right"]
     marks = staged(
         marks.select(
             "fingerprint", "width", "item_id", F.col("middle").alias("item_middle"),
             F.col("left").alias("item_left"), F.col("right").alias("item_right"),
-        ),
+        ).groupBy(*around).agg(F.collect_set("item_id").alias("held_by")),
         "marks",
     )
-    few = marks.count() <= BROADCAST_FINGERPRINTS
+    words_of = F.concat_ws(" ", "item_middle", "item_left", "item_right")
+    n_marks, size = marks.agg(
+        F.count("*"), F.coalesce(F.sum(F.octet_length(words_of) + 16 * F.size("held_by")), F.lit(0))
+    ).first()
+    few = n_marks <= BROADCAST_FINGERPRINTS and size <= BROADCAST_BYTES
     bounded = F.broadcast if few else (lambda x: x)
 
     # 1. candidates
@@ -229,7 +235,7 @@ def decontaminate(
                     (F.col("place") + F.col("width") + F.col("after")).cast("long").alias("end"),
                 )
             ).alias("spans"),
-            F.collect_set("item_id").alias("item_ids"),
+            F.array_distinct(F.flatten(F.collect_set("held_by"))).alias("item_ids"),
         )
         .select(
             F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"),
@@ -268,3 +274,33 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+OP10_SQL = f"""
+with docs as (
+  select row_number() over () as r, doc_id, {_WORDS} as w from documents
+), items as (
+  select item_id, {_WORDS} as w from benchmark
+), windows as (
+  select distinct item_id, least({WINDOW}, len(w)) as m, array_to_string(w[i : i + least({WINDOW}, len(w)) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) as i from items where len(w) > 0)
+), places as (
+  select r, i, m, array_to_string(w[i : i + m - 1], ' ') as g
+  from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i
+        from docs cross join (select distinct m from windows) where len(w) >= m)
+), hits as (
+  select p.r, p.i, p.m, p.g from places p semi join windows w on p.m = w.m and p.g = w.g
+), words as (
+  select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + m)) as p from hits) group by r
+), found as (
+  select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+  from (select distinct h.r, w.item_id from hits h join windows w on h.m = w.m and h.g = w.g) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join words using (r) left join found using (r)
+"""

@@ -573,3 +573,32 @@ def jaccard_classes(
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+with recursive docs as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingles as (
+  select distinct r, array_to_string(w[i : i + 4], ' ') as g
+  from (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from docs where len(w) > 0)
+), sizes as (
+  select r, count(*) as n from shingles group by r
+), common as (
+  select a.r as a, b.r as b, count(*) as n from shingles a join shingles b on a.g = b.g and a.r < b.r group by all
+), links as (
+  select a, b from common join sizes x on a = x.r join sizes y on b = y.r
+  where 100 * common.n >= 80 * (x.n + y.n - common.n)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach(r, o) as (
+  select r, r from docs
+  union
+  select reach.r, b from reach join both_ways on reach.o = a
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id
+from docs d left join sizes using (r)
+join (select reach.r, min(e.doc_id) as component_id from reach join docs e on e.r = reach.o group by reach.r) c on c.r = d.r
+"""

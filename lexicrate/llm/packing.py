@@ -387,7 +387,8 @@ def pack(
     bases = sizes.select(
         "length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    # all columns take part, so that a lost task ranks its rows as before
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
         salted.withColumn("rank", F.row_number().over(within) - 1)
         .join(bases, ["length", "salt"])

@@ -2,13 +2,13 @@
 
 Each text's words form a suffix array, built by prefix doubling for many texts
 at once: suffixes are ranked by their first 1, 2, 4 ... words until all differ.
-The kept ranks give the longest common prefix of neighbours in the array.  A
-word sequence is repeated where a neighbour shares it; the spans of all maximal
+The longest common prefix of neighbours in the array is searched by halves, on
+hashes of word runs that follow from prefix sums.  A word sequence is repeated where a neighbour shares it; the spans of all maximal
 repeats of ``min_words`` words or more are united, and a text fails when they
 cover too large a share of it or when the longest of them is too long.
 
 All texts of a chunk are worked on together in numpy, so there is no Python
-loop over words, and memory follows the chunk.
+loop over words, and memory is a few arrays of the chunk's words.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_dedup import Words
 from .shared import TextChunks, WordHasher, byte_class, documents
 
 SYMBOLS = byte_class(b"#*$%&|<>")
@@ -34,7 +35,7 @@ SCHEMA = (
 )
 
 
-def suffix_ranks(row: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+def suffix_ranks(row: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Ranks of all suffixes by (row, first 1, 2, 4 ... words), until they differ.
 
     A suffix never runs past its row.  Only suffixes that still tie are sorted
@@ -46,7 +47,7 @@ def suffix_ranks(row: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     new[1:] = (row[order][1:] != row[order][:-1]) | (words[order][1:] != words[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    levels, width = [rank], 1
+    width = 1
     end = np.append(np.searchsorted(row, np.arange(row[-1] + 1), side="right"), n) if n else None
     while n:
         counts = np.bincount(rank, minlength=n)
@@ -66,35 +67,30 @@ def suffix_ranks(row: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
         at = np.arange(len(order))
         group = np.maximum.accumulate(np.where(start, at, 0))
         fresh = np.maximum.accumulate(np.where(new, at, 0))
-        rank = rank.copy()
         rank[sorted_] = first + (fresh - group)
-        levels.append(rank)
         width *= 2
-    return levels
+    return rank
 
 
-def common_prefixes(row: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+def common_prefixes(row: np.ndarray, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """For every suffix, the longest prefix that another suffix of its row has too."""
     n = len(row)
+    best = np.zeros(n, np.int64)
     if not n:
-        return np.zeros(0, np.int64)
-    order = np.argsort(levels[-1], kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
+        return best
+    order = np.argsort(rank, kind="stable")
+    pairs = np.flatnonzero(row[order[:-1]] == row[order[1:]])
+    a, b = order[pairs], order[pairs + 1]
     end = np.searchsorted(row, np.arange(row[-1] + 1), side="right")
-    pairs = np.flatnonzero(row[a] == row[b])
-    a, b = a[pairs], b[pairs]
-    stop = end[row[a]]
-    shared = np.zeros(len(pairs), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        rank = levels[level]
-        inside = (a < stop) & (b < stop)
-        same = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
-        # equal ranks at this level mean equal words for its width, or equal whole suffixes
-        step = 1 << level
-        a, b, shared = a + same * step, b + same * step, shared + same * step
-    best = np.zeros(n, np.int64)
-    np.maximum.at(best, order[:-1][pairs], shared)
-    np.maximum.at(best, order[1:][pairs], shared)
+    runs = Words(np.bincount(row, minlength=row[-1] + 1), words)
+    low = np.zeros(len(pairs), np.int64)
+    high = end[row[a]] - np.maximum(a, b)  # the shorter suffix bounds what they share
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        same = runs.hash(a, middle) == runs.hash(b, middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    np.maximum.at(best, a, low)
+    np.maximum.at(best, b, low)
     return best
 
 
@@ -115,8 +111,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher, min_words
     word_chars = of(hasher.word_bytes[data] & ((data & 0xC0) != 0x80))
     symbols = of(SYMBOLS[data])
 
-    levels = suffix_ranks(row, words)
-    best = common_prefixes(row, levels)
+    best = common_prefixes(row, words, suffix_ranks(row, words))
     by_row = lambda mask: np.bincount(row[mask], minlength=n)
     repeat3 = by_row(covered(row, best, 3, np.full(len(row), 3)))
     spans = by_row(covered(row, best, min_words))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
 from .class_lm import op8_class_lm_scoring
-from .decontaminate import op10_benchmark_decontamination
-from .jaccard import op5_ngram_jaccard_join
+from .decontaminate import OP10_SQL, op10_benchmark_decontamination
+from .jaccard import OP5_SQL, op5_ngram_jaccard_join
 from .licenses import op2_license_scans
 from .line_dedup import op4_line_dedup
 from .packing import op1_best_fit_packing
@@ -28,4 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": OP3_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
 }

@@ -38,6 +38,18 @@ def test_pairs(spark):
         assert r.prompt_id == 1
 
 
+def test_clashing_columns(spark):
+    rows = [(1, [("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "c")], 7)]
+    df = spark.createDataFrame(rows, PAIRS)
+    names = ["_a", "_b", "_p", "n_common", "prompt", "chosen_mask", "left_turns", "common_turns", "right_turns"]
+    out = format_preferences(df.selectExpr("*", *[f"'mine' as {c}" for c in names]))
+    assert out.columns == [
+        "id", "prompt_id", "_a", "_b", "_p", "left_turns", "common_turns", "right_turns",
+        "n_common", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask",
+    ]
+    assert out.first().n_common == 1 and out.first()._a == "mine"
+
+
 def test_query_equals_sql(spark, tmp_path):
     rows = [
         (0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "c"), (1, 1, "assistant", "d"), (1, 2, "user", "e"),

@@ -1,6 +1,9 @@
+import hashlib
+
+import duckdb
 import pytest
 
-from lexicrate.llm.decontaminate import decontaminate
+from lexicrate.llm.decontaminate import OP10_SQL, decontaminate, op10_benchmark_decontamination
 
 from .helpers import LETTERED, LOWER, frame, odd_texts, prose
 
@@ -52,6 +55,27 @@ def test_passages_in_documents(spark, items):
     assert got(spark, docs, items) == brute(docs, items)
 
 
+def test_query_and_sql_on_small_tables(spark, tmp_path, items):
+    w = items[1][1].split(" ")
+    docs = odd_texts() + [(30, prose(3, 20) + " " + " ".join(w[5:25]).upper()), (31, "three little words"), (None, w[0])]
+    stems = [(40 + k, " ".join(w[:30]) + f" tail{k}") for k in range(20)]  # a stem of many items
+    bench = [*items, *stems]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted(
+        (i, n, hit, k, hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bad)
+        for i, n, hit, k, found, bad in brute(docs, bench)
+    )
+    out = op10_benchmark_decontamination(spark, str(tmp_path)).collect()
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted((repr(r[0]), *(r[c] for c in names[1:])) for r in out) == want
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = con.execute(f"select {', '.join(names)} from ({OP10_SQL})").fetchall()
+    assert sorted((repr(r[0]), *r[1:]) for r in got) == want
+
+
 def test_without_short_items(spark, items):
     docs = [(i, items[i][1]) for i in range(4)] + [(9, prose(5, 50))]
     assert got(spark, docs, items[:6]) == brute(docs, items[:6])

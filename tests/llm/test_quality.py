@@ -1,9 +1,11 @@
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexicrate.llm.quality import measure, quality_rules
+from lexicrate.llm.quality import measure, op7_quality_rules, quality_rules
 from lexicrate.llm.shared import TextChunks, WordHasher
 
 from .helpers import SPACED, frame, odd_texts, prose
@@ -51,6 +53,33 @@ def test_longer_texts():
     assert measured(texts) == [brute(t) for t in texts]
 
 
+def test_memory_of_one_word_many_times():
+    """A text of one word repeated needs a few arrays of its words, not one for every doubling."""
+    data = np.frombuffer(b"w " * 200_000, np.uint8)
+    tracemalloc.start()
+    m = measure(data, np.array([0, len(data)]), WordHasher(lower=False), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert m["longest_repeat"][0] == 199_999 and m["repeat_words"][0] == 200_000
+    assert peak < 200 * 200_000
+
+
+def test_query_on_small_tables(spark, tmp_path):
+    texts = [(i, t) for i, t in odd_texts() if i != 9]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    want = []
+    for i, t in texts:
+        b = brute(t)
+        n = b["n_words"]
+        failed = n < 50 or 100 * b["n_repeat_words"] > 50 * n
+        kept = not failed and b["repeat_words"] <= 0.5 * n and b["longest_repeat"] <= 40
+        want.append((repr(i), *(b[c] for c in names), failed, kept))
+    got = [(repr(r.doc_id), *(r[c] for c in names), r.base_failed, r.kept)
+           for r in op7_quality_rules(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_verdict(spark):
     clean, twice = prose(11, 300, 5000), prose(12, 90, 5000)
     texts = odd_texts() + [(50, clean), (51, twice + "\n" + clean + "\n" + twice)]

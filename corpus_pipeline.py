@@ -14,19 +14,21 @@ from lexicrate.llm.decontaminate import decontaminate
 from lexicrate.llm.jaccard import jaccard_classes
 from lexicrate.llm.line_dedup import dedup_lines
 from lexicrate.llm.packing import pack
-from lexicrate.llm.shared import documents, staged
+from lexicrate.llm.shared import documents, fresh_names, staged
 from lexicrate.llm.toxicity import fit, score_toxicity, training_rows
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go.  The model learns from the labelled ones that are not held out."""
     model = fit(training_rows(docs, documents(spark, sf_dir, "labels")))
-    return score_toxicity(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    score, flag = fresh_names(docs.columns, "toxicity", "toxic")
+    scored = score_toxicity(docs, model, score_col=score, flag_col=flag)
+    return scored.where(~F.col(flag)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of words go; so does a document of which nothing is left."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs)  # columns of documents have other names than its results
     changed = F.col("removed_words") > 0
     left = out.where(~(changed & (F.trim("text") == ""))).withColumn(
         "n_chars",
@@ -48,10 +50,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate(docs, documents(spark, sf_dir, "benchmark"))
+    hit_id, hit_hash = fresh_names(docs.columns, "hit_id", "hit_hash")
     hit = staged(
-        found.where("contaminated").select(F.col("doc_id").alias("_id"), "text_hash").distinct(), "hit"
+        found.where("contaminated").select(
+            F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)
+        ).distinct(),
+        "hit",
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_hash))
     return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 

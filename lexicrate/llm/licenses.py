@@ -1,9 +1,10 @@
 """Operator 2: license scans by ordered signature rules, native to Spark SQL.
 
 A rule is a regular expression over a text's normalized words, with a priority
-and a confidence.  Rules come from hand-written license names and sentence
-frames.  A keyword decides whether a rule is tried at all; few texts hold any.
-Detections are spans of words.  One that lies within a detection of the same or
+and a confidence.  Most are hand-written, one by one (``license_rules`` and
+``NOTICES``); license names in sentence frames add their products.  A keyword
+decides whether a rule is tried at all, and a few stems decide whether a text is
+looked at; few texts hold any.  Detections are spans of words.  One that lies within a detection of the same or
 a better priority is suppressed.
 
 The base phrases are rules of the lowest priority that can't be suppressed.
@@ -16,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .license_rules import signatures
 from .shared import documents, staged
 from .words import normalized, word_count
 
@@ -106,9 +108,23 @@ NOTICES = [
 
 BASE_PRIORITY = 9
 
+#: Parts of many keywords; a text without these and the other keywords has no license.
+STEMS = [
+    "licen", "public", "copyright", "permi", "software", "warrant", "creative", "creativecommons",
+    "redistribut", "rights", "commercial", "version",
+]
+
+
+def gates() -> list[str]:
+    """Substrings of which every keyword holds one, as few as that takes."""
+    keywords = {k for _, k, _, _, _ in rules()}
+    left = {next((s for s in STEMS if s in k), k) for k in keywords}
+    return sorted(k for k in left if not any(other != k and other in k for other in left))
+
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """All rules in order: (label, keyword, pattern, priority, confidence)."""
+    written = [rule[:5] for rule in signatures()]
     framed = [
         (label, keyword, frame.format(name), priority, confidence)
         for frame, priority, confidence in FRAMES
@@ -116,7 +132,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     ]
     alone = [(label, k, name, 4, 0.7) for label, k, name in LICENSES if k in ALONE]
     base = [(label, phrase, phrase, BASE_PRIORITY, 0.5) for phrase, label in BASE.items()]
-    return NOTICES + framed + alone + base
+    return written + NOTICES + framed + alone + base
 
 
 RULE = "struct<label:string,pattern:string,priority:int,confidence:double,rule:int>"
@@ -187,9 +203,8 @@ def scan_licenses(df: DataFrame) -> DataFrame:
     nothing in it.  Rows stay one to one, repeated rows and null ids included;
     other columns are not read.
     """
-    keywords = sorted({k for _, k, _, _, _ in rules()})
     norm = df.select(F.col("doc_id").cast("long").alias("doc_id"), normalized(F.col("text")).alias("norm"))
-    any_keyword = reduce(lambda a, b: a | b, [F.contains("norm", F.lit(k)) for k in keywords])
+    any_keyword = reduce(lambda a, b: a | b, [F.contains("norm", F.lit(k)) for k in gates()])
     flagged = norm.select(
         "doc_id", "norm", word_count(F.col("norm")).alias("n_words"),
         F.coalesce(any_keyword, F.lit(False)).alias("likely"),

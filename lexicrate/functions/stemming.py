@@ -436,6 +436,14 @@ STEMMERS: dict[str, Callable[[str], str]] = {
 }
 
 
+#: Languages whose stemmers are not written; their words are never stemmed as English ones.
+UNWRITTEN = {
+    "ar": "Arabic", "da": "Danish", "nl": "Dutch", "fi": "Finnish", "hu": "Hungarian", "it": "Italian",
+    "no": "Norwegian", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sv": "Swedish",
+    "ta": "Tamil", "tr": "Turkish",
+}
+
+
 def stemmer_for(setting: Setting) -> Callable[[str], str] | None:
     """The function of a stemmer setting; None where nothing is to be done."""
     if isinstance(setting, NoOp):
@@ -443,5 +451,7 @@ def stemmer_for(setting: Setting) -> Callable[[str], str] | None:
     if isinstance(setting, Porter):
         return english
     if isinstance(setting, Snowball):
-        return STEMMERS.get(setting.lang, english)
+        if setting.lang in UNWRITTEN:
+            raise TokenizerError(f"no stemmer for {UNWRITTEN[setting.lang]} yet")
+        return STEMMERS.get(setting.lang, english)  # as for any name that is no language
     raise TokenizerError(f"not a stemmer: {setting}")

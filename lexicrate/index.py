@@ -1,8 +1,12 @@
 """The index as an object: documents in, searches out.
 
-The state is one table of documents; tokens, postings and statistics are
-derived from it lazily, so every change is visible at once.  ``save`` writes
-that table and the postings, dealt by term hash, as Parquet.
+The state is a table of documents and the numbers of deleted ones; tokens,
+postings and statistics are derived lazily, so every change is visible at once.
+``save`` writes documents with their tokens, postings and term statistics as
+Parquet, the latter two dealt by term hash.  A loaded index searches these: a
+query reads the postings of its terms' buckets and the documents' lengths, no
+text; documents that came later are analyzed and joined to them, and deleted
+ones are left out by an anti join.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import json
 import time
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,11 +53,32 @@ from .operators.tables import (
 from .plans.strategies import retrieve
 from .sources.oplog import Delete, Insert, OperationLog
 
-FORMAT, VERSION, TERM_BUCKETS = "lexicrate", 1, 16
+FORMAT, VERSION = "lexicrate", 2
+#: Tokens of one bucket of postings, and the least number of buckets.
+BUCKET_TOKENS, LEAST_BUCKETS = 16 << 20, 16
+#: Up to so many distinct buckets are named in a filter of the scan.
+MOST_NAMED = 1024
 DOCS = "doc_id long, external_id string, text string, fields map<string,string>, live boolean"
+SAVED = ["doc_id", "external_id", "text", "fields", "live", "tokens", "doc_len"]
+POSTINGS = "term string, doc_id long, doc_len long, tf long, positions array<int>, bucket int"
+TERMS = "term string, doc_freq long, collection_freq long, max_tf int, bucket int"
 MOST_DOCS = 1 << 32
 
 
+@dataclass(frozen=True)
+class Stored:
+    """Tables of a saved index: documents with a number below ``until``."""
+
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    buckets: int
+    until: int
+
+    def bucket(self):
+        return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+
+
 @dataclass(frozen=True)
 class SearchHit:
     doc_id: str
@@ -70,6 +95,9 @@ class BM25Index:
         self.built = int(time.time())
         self.next_id = 0
         self.log: OperationLog | None = None
+        self.stored: Stored | None = None
+        #: Numbers of documents deleted since the table was written; each comes from a call.
+        self.gone: set[int] = set()
 
     # -- building ----------------------------------------------------------------
 
@@ -138,36 +166,88 @@ class BM25Index:
         """Marks a document as deleted; its id stays taken until ``compact``."""
         if self.log:
             self.log.append([Delete(external_id)])
-        if self.docs.where(F.col("external_id") == external_id).isEmpty():
+        found = self._numbers_of(F.col("external_id") == external_id)
+        if not found:
             raise ExternalIdNotFound(f"no document has the id {external_id}")
-        self._drop(F.col("external_id") == external_id)
+        self.gone.update(found)
 
     def delete_by_doc_id(self, doc_id: int) -> None:
-        if self.docs.where(F.col("doc_id") == doc_id).isEmpty():
+        found = self._numbers_of(F.col("doc_id") == doc_id)
+        if not found:
             raise DocumentNotFound(f"no document has the number {doc_id}")
-        self._drop(F.col("doc_id") == doc_id)
+        self.gone.update(found)
+
+    def _numbers_of(self, which) -> list[int]:
+        """Numbers of the named documents: ids are unique, so no more than there are names."""
+        return [r[0] for r in self.docs.where(which).select("doc_id").collect()]
 
-    def _drop(self, which) -> None:
-        self.docs = self.docs.withColumn("live", F.col("live") & ~which)
+    def _marked(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with ``live`` as of now."""
+        if not self.gone:
+            return docs
+        gone = self.spark.createDataFrame([(i,) for i in sorted(self.gone)], "doc_id long")
+        marked = docs.join(F.broadcast(gone.withColumn("_gone", F.lit(True))), "doc_id", "left")
+        return marked.withColumn("live", F.col("live") & F.col("_gone").isNull()).select(*docs.columns)
 
     def compact(self) -> None:
         """Leaves deleted documents out for good and numbers the others anew."""
-        if self.docs.where("not live").isEmpty():
+        marked = self._marked(self.docs)
+        if marked.where("not live").isEmpty():
             return
-        live = self.docs.where("live").withColumnRenamed("doc_id", "_old")
+        live = marked.where("live").withColumnRenamed("doc_id", "_old")
         self.docs = number_by(live, "_old").select(*self.docs.columns).persist()
         self.next_id, self.built = self.docs.count(), int(time.time())
+        self.stored, self.gone = None, set()
 
     # -- tables ------------------------------------------------------------------
 
     def live(self) -> DataFrame:
-        return self.docs.where("live").drop("live")
+        return self._marked(self.docs).where("live").drop("live")
 
     def tokens(self, live: bool = True) -> DataFrame:
-        return document_tokens(self.live() if live else self.docs, self.config.tokenizer)
-
-    def postings_table(self, live: bool = True) -> DataFrame:
-        return postings(self.tokens(live), positions=True)
+        """All documents with tokens and doc_len; those of a saved table come from there."""
+        marked = self._marked(self.docs)
+        analyzed = lambda df: document_tokens(df, self.config.tokenizer)
+        if self.stored is None:
+            out = analyzed(marked)
+        else:
+            out = self._marked(self.stored.docs)
+            if self.next_id > self.stored.until:
+                out = out.unionByName(analyzed(marked.where(F.col("doc_id") >= self.stored.until)))
+        return out.where("live").drop("live") if live else out
+
+    def postings_table(self, live: bool = True, terms: DataFrame | None = None) -> DataFrame:
+        """Postings with positions; of a saved table only the buckets of ``terms``, if given."""
+        if self.stored is None:
+            return postings(self.tokens(live), positions=True)
+        kept = self.stored
+        post = kept.postings if terms is None else kept.postings.where(self._buckets_of(terms))
+        post = post.drop("bucket")
+        if live and self._changed():
+            dead = self._marked(kept.docs.select("doc_id", "live")).where("not live").select("doc_id")
+            post = post.join(dead, "doc_id", "left_anti")
+        if self.next_id > kept.until:
+            later = self.tokens(live).where(F.col("doc_id") >= kept.until)
+            post = post.unionByName(postings(later, positions=True))
+        return post
+
+    def _buckets_of(self, terms: DataFrame):
+        """A filter of the scan on the buckets of the terms, while these are few."""
+        named = terms.select(self.stored.bucket().alias("b")).distinct().limit(MOST_NAMED + 1).collect()
+        return F.col("bucket").isin([r[0] for r in named]) if len(named) <= MOST_NAMED else F.lit(True)
+
+    def _changed(self) -> bool:
+        """Whether any document of the saved table is deleted."""
+        return bool(self.gone) or not self.stored.docs.where("not live").isEmpty()
+
+    def _ready(self, terms: DataFrame) -> dict[str, DataFrame]:
+        """The stored tables that a search of these terms needs; none where nothing is stored."""
+        if self.stored is None:
+            return {}
+        out = {"post": self.postings_table(terms=terms)}
+        if not self._changed() and self.next_id == self.stored.until:
+            out["stats"] = self.stored.terms.where(self._buckets_of(terms)).drop("bucket")
+        return out
 
     def terms(self) -> DataFrame:
         """Terms with frequencies among live documents; ids and max_tf count deleted ones too."""
@@ -192,28 +272,41 @@ class BM25Index:
         rows = named.orderBy("rank").select("external_id", "score").collect()  # k rows
         return [SearchHit(r[0], r[1]) for r in rows]
 
+    def _retrieve(self, terms: DataFrame, k: int) -> DataFrame:
+        return retrieve(
+            self.tokens(), terms, self.config.retrieval, self.config.scoring, k, **self._ready(terms)
+        )
+
     def search_batch(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """(query_id, doc_id, score, rank) for a table (query_id, text)."""
-        terms = bag_of_words(queries, self.config.tokenizer)
-        return retrieve(self.tokens(), terms, self.config.retrieval, self.config.scoring, top_k)
+        return self._retrieve(bag_of_words(queries, self.config.tokenizer), top_k)
 
     def search(self, query: str, top_k: int = 10) -> list[SearchHit]:
         one = self.spark.createDataFrame([(0, query)], "query_id long, text string")
         return self._hits(self.search_batch(one, max(top_k, 1)), top_k)
 
     def search_weighted(self, query: WeightedQuery, top_k: int = 10) -> list[SearchHit]:
-        terms = weighted(self.spark, query.terms())
-        found = retrieve(self.tokens(), terms, self.config.retrieval, self.config.scoring, max(top_k, 1))
-        return self._hits(found, top_k)
+        return self._hits(self._retrieve(weighted(self.spark, query.terms()), max(top_k, 1)), top_k)
+
+    def _named(self, terms: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
 
     def search_boolean(self, query: BooleanQuery, top_k: int = 10) -> list[SearchHit]:
-        return self._hits(search_boolean(self.tokens(), query, self.config.scoring, max(top_k, 1)), top_k)
+        """Terms of deleted documents stay known until ``compact``."""
+        terms = self._named([*query.must, *query.should, *query.must_not])
+        every = self.postings_table(live=False, terms=terms).select("doc_id", "term")
+        found = search_boolean(
+            self.tokens(), query, self.config.scoring, max(top_k, 1), every, **self._ready(terms)
+        )
+        return self._hits(found, top_k)
 
     def search_phrase(self, query: PhraseQuery, top_k: int = 10) -> list[SearchHit]:
-        return self._hits(search_phrase(self.tokens(), query, self.config.scoring, max(top_k, 1)), top_k)
+        ready = self._ready(self._named(query.terms))
+        return self._hits(search_phrase(self.tokens(), query, self.config.scoring, max(top_k, 1), **ready), top_k)
 
     def phrase_match(self, terms: list[str], window: int = 1) -> set[int]:
-        found = phrase_match(self.tokens(), PhraseQuery(list(terms), window))
+        post = self._ready(self._named(terms)).get("post")
+        found = phrase_match(self.tokens(), PhraseQuery(list(terms), window), post)
         return {r[0] for r in found.toLocalIterator()}
 
     # -- what is in it ---------------------------------------------------------------
@@ -262,7 +355,7 @@ class BM25Index:
         }
 
     def __len__(self) -> int:
-        return self.docs.where("live").count()
+        return self.live().count()
 
     def __iter__(self) -> Iterator[str]:
         yield from self.vocabulary
@@ -276,16 +369,26 @@ class BM25Index:
     def save(self, path: str) -> None:
         """Writes to a folder beside ``path`` and renames it: a failed save leaves no half."""
         beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-        self.docs.write.parquet(f"{beside}/docs")
-        deal = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).alias("bucket")
+        self.tokens(live=False).select(*SAVED).write.parquet(f"{beside}/docs")
+        docs = self.spark.read.parquet(f"{beside}/docs")
+        tokens = docs.agg(F.coalesce(F.sum("doc_len"), F.lit(0))).first()[0]
+        buckets = max(LEAST_BUCKETS, -(-tokens // BUCKET_TOKENS))
+        deal = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
         (
-            self.postings_table().select("*", deal)
-            .repartition("bucket").sortWithinPartitions("term", "doc_id")
+            postings(docs, positions=True).select("*", deal)
+            .repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id")
             .write.partitionBy("bucket").parquet(f"{beside}/postings")
         )
+        post = self.spark.read.schema(POSTINGS).parquet(f"{beside}/postings")
+        dead = docs.where("not live").select("doc_id")
+        alive = post.join(dead, "doc_id", "left_anti")
+        (
+            term_stats(alive).select("*", deal).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+            .write.partitionBy("bucket").parquet(f"{beside}/terms")
+        )
         manifest = {
             "format": FORMAT, "version": VERSION, "config": plain(self.config),
-            "next_id": self.next_id, "built": self.built,
+            "next_id": self.next_id, "built": self.built, "buckets": buckets,
         }
         row = self.spark.createDataFrame([(json.dumps(manifest),)], "value string")
         row.coalesce(1).write.text(f"{beside}/manifest")
@@ -297,13 +400,19 @@ class BM25Index:
             fs.rename(target, old)
         fs.rename(source, target)
         if old is not None:
-            # the table in use may still be read from there
-            self.docs = self.spark.read.schema(DOCS).parquet(f"{path}/docs")
+            # the tables in use may still be read from there
+            self._open(path, buckets)
             fs.delete(old, True)
 
+    def _open(self, path: str, buckets: int) -> None:
+        read = lambda schema, name: self.spark.read.schema(schema).parquet(f"{path}/{name}")
+        docs = read(f"{DOCS}, tokens array<string>, doc_len long", "docs")
+        self.docs, self.gone = docs.select(*SAVED[:-2]), set()
+        self.stored = Stored(docs, read(POSTINGS, "postings"), read(TERMS, "terms"), buckets, self.next_id)
+
     @classmethod
     def load(cls, path: str, mode: str = "in_memory", spark: SparkSession | None = None) -> BM25Index:
-        """Opens a saved index; ``in_memory`` keeps its documents cached, ``mmap`` scans them."""
+        """Opens a saved index; ``in_memory`` keeps its postings cached, ``mmap`` scans their buckets."""
         if mode not in ("in_memory", "mmap"):
             raise InvalidArgument("mode must be in_memory or mmap")
         index = cls(spark=spark)
@@ -320,8 +429,10 @@ class BM25Index:
             raise UnsupportedVersion(f"{path} has version {told['version']}")
         index.config = BM25Config.from_mapping(told["config"])
         index.next_id, index.built = told["next_id"], told["built"]
-        docs = index.spark.read.schema(DOCS).parquet(f"{path}/docs")
-        index.docs = docs.cache() if mode == "in_memory" else docs
+        index._open(path, told["buckets"])
+        if mode == "in_memory":
+            kept = index.stored
+            index.stored = replace(kept, postings=kept.postings.cache(), terms=kept.terms.cache())
         return index
 
     def metadata(self) -> dict[str, object]:
@@ -381,7 +492,9 @@ class BM25Index:
             ).coalesce(1)
             self.insert(df, id_col="external_id", fields_col="fields")
         if gone:
-            self._drop(F.col("external_id").isin(sorted(gone)))
+            names = self.spark.createDataFrame([(i,) for i in sorted(gone)], "external_id string")
+            found = self.docs.join(F.broadcast(names), "external_id", "left_semi").select("doc_id")
+            self.gone.update(r[0] for r in found.collect())  # no more rows than the log has operations
         return applied
 
     @classmethod

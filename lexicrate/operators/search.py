@@ -77,9 +77,15 @@ def weighted(spark: SparkSession, terms: list[tuple[str, float]], query_id: int
     return spark.createDataFrame(rows, "query_id long, term string, weight double")
 
 
+def _hint(df: DataFrame):
+    """``F.broadcast`` for tables with no more rows than ``df``, if that is small; counted once."""
+    few = df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return F.broadcast if few else (lambda table: table)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast where the table is small; its size is counted, not assumed."""
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+    return _hint(df)(df)
 
 
 def top_k(scores: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
@@ -91,25 +97,32 @@ def top_k(scores: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
     )
 
 
+def query_postings(docs: DataFrame, wanted: DataFrame, post: DataFrame | None) -> DataFrame:
+    """Postings of the wanted terms, counted from the tokens where none are stored."""
+    if post is None:
+        return postings(docs, wanted)
+    return post.join(wanted, "term", "left_semi").select("term", "doc_id", "doc_len", "tf")
+
+
 def scored(
     docs: DataFrame, queries: DataFrame, scoring: Setting = Okapi(),
     candidates: DataFrame | None = None, *, post: DataFrame | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, score) of all matching documents.
 
-    ``docs(doc_id, tokens, doc_len)``; ``post`` the postings where an index has
-    them stored.  Only occurrences of query terms are shuffled.  ``candidates``
+    ``docs(doc_id, tokens, doc_len)``; ``post`` the postings and ``stats`` the term
+    statistics where an index has them stored (then ``docs`` needs no tokens).
+    Only occurrences of query terms are shuffled.  ``candidates``
     (query_id, doc_id) narrows the documents, not the statistics.
     """
     queries = queries.select("query_id", "term", "weight")
-    wanted = _small(queries.select("term").distinct())
-    if post is None:
-        post = postings(docs, wanted)
-    else:
-        post = post.join(wanted, "term", "left_semi").select("term", "doc_id", "doc_len", "tf")
-    stats = term_stats(post).drop("max_tf")
+    small = _hint(queries)
+    post = query_postings(docs, small(queries.select("term").distinct()), post)
+    stats = (term_stats(post) if stats is None else stats).select("term", "doc_freq", "collection_freq")
     corpus = corpus_stats(docs.select("doc_len")).select("n", "avgdl")
-    weighed = _small(queries.join(stats, "term").crossJoin(F.broadcast(corpus)))  # one row of stats
+    # no more rows than the queries have; one row of corpus statistics
+    weighed = small(queries.join(stats, "term").crossJoin(F.broadcast(corpus)))
     hits = post.join(weighed, "term")
     if candidates is not None:
         hits = hits.join(candidates, ["query_id", "doc_id"], "left_semi")
@@ -128,20 +141,29 @@ def search(
     return top_k(scored(docs, queries, scoring, **kw), k)
 
 
-def boolean_candidates(docs: DataFrame, query: BooleanQuery) -> DataFrame:
+def boolean_candidates(
+    docs: DataFrame, query: BooleanQuery, every: DataFrame | None = None, post: DataFrame | None = None
+) -> DataFrame:
     """doc_ids that a boolean query admits.
 
-    With ``must`` terms, documents that hold all those that occur at all; a
-    ``must`` term that no document holds is left out, and if none is left there
-    are no candidates.  Without, documents that hold a ``should`` term.
+    With ``must`` terms, documents that hold all those that are known; a ``must``
+    term that is unknown is left out, and if none is left there are no
+    candidates.  Known are the terms of ``every`` (all documents of an index,
+    deleted ones included, as (doc_id, term)), or else those of ``docs``.
+    Without ``must`` terms, documents that hold a ``should`` term.
     """
     names = sorted({*query.must, *query.should, *query.must_not})
     spark = docs.sparkSession
     terms = spark.createDataFrame([(t,) for t in names], "term string")
-    held = occurrences(docs, F.broadcast(terms)).select("doc_id", "term").distinct()
+    if post is None:
+        held = occurrences(docs, F.broadcast(terms)).select("doc_id", "term").distinct()
+    else:
+        held = post.join(F.broadcast(terms), "term", "left_semi").select("doc_id", "term")
     if query.must:
-        must = held.where(F.col("term").isin(sorted(set(query.must))))
-        known = must.agg(F.count_distinct("term").alias("known"))
+        wanted = F.col("term").isin(sorted(set(query.must)))
+        must = held.where(wanted)
+        among = must if every is None else every.where(wanted)
+        known = among.agg(F.count_distinct("term").alias("known"))
         kept = (
             must.groupBy("doc_id").agg(F.count("*").alias("n"))
             .crossJoin(F.broadcast(known))  # one row
@@ -158,13 +180,15 @@ def boolean_candidates(docs: DataFrame, query: BooleanQuery) -> DataFrame:
 
 
 def search_boolean(
-    docs: DataFrame, query: BooleanQuery, scoring: Setting = Okapi(), k: int = 10
+    docs: DataFrame, query: BooleanQuery, scoring: Setting = Okapi(), k: int = 10,
+    every: DataFrame | None = None, **kw,
 ) -> DataFrame:
     """The best k of the candidates; ``must`` and ``should`` terms score, each as often as named."""
     spark = docs.sparkSession
     terms = weighted(spark, [(t, 1.0) for t in [*query.must, *query.should]])
-    kept = boolean_candidates(docs, query).withColumn("query_id", F.lit(0).cast("long"))
-    return search(docs, terms, scoring, k, candidates=kept)
+    kept = boolean_candidates(docs, query, every, kw.get("post"))
+    kept = kept.withColumn("query_id", F.lit(0).cast("long"))
+    return search(docs, terms, scoring, k, candidates=kept, **kw)
 
 
 def _positions(tokens: Column, term: str) -> Column:
@@ -172,19 +196,29 @@ def _positions(tokens: Column, term: str) -> Column:
     return F.filter(at, lambda i: i.isNotNull())
 
 
-def phrase_match(docs: DataFrame, query: PhraseQuery) -> DataFrame:
+def phrase_match(docs: DataFrame, query: PhraseQuery, post: DataFrame | None = None) -> DataFrame:
     """doc_ids in which the terms stand in order, each within ``window`` of the one before.
 
     From every place of the first term on, the first place of the next term that
-    is not before it is taken, and never another one.
+    is not before it is taken, and never another one.  Places come from the
+    positions in ``post`` where given, else from the tokens.
     """
     if not query.terms:
         return docs.select("doc_id").limit(0)
-    held = docs.where(F.forall(F.array(*map(F.lit, query.terms)), lambda t: F.array_contains("tokens", t)))
-    found = _positions(F.col("tokens"), query.terms[0])
-    held = held.withColumn("_found", found)
+    names = sorted(set(query.terms))
+    if post is None:
+        held = docs.where(F.forall(F.array(*map(F.lit, names)), lambda t: F.array_contains("tokens", t)))
+        places = lambda term: _positions(F.col("tokens"), term)
+    else:
+        held = (
+            post.where(F.col("term").isin(names)).groupBy("doc_id")
+            .agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_at"))
+            .where(F.size("_at") == len(names))
+        )
+        places = lambda term: F.element_at("_at", term)
+    held = held.withColumn("_found", places(query.terms[0]))
     for term in query.terms[1:]:
-        held = held.withColumn("_next", _positions(F.col("tokens"), term))
+        held = held.withColumn("_next", places(term))
         # two uses of _next in one projection keep it a column of its own
         step = F.when(
             F.size("_next") > 0, F.transform("_found", lambda p: _first_within(p, query.window))
@@ -201,12 +235,12 @@ def _first_within(place: Column, window: int) -> Column:
 
 
 def search_phrase(
-    docs: DataFrame, query: PhraseQuery, scoring: Setting = Okapi(), k: int = 10
+    docs: DataFrame, query: PhraseQuery, scoring: Setting = Okapi(), k: int = 10, **kw
 ) -> DataFrame:
     """The best k matches; the terms score as a bag of words."""
-    kept = phrase_match(docs, query).withColumn("query_id", F.lit(0).cast("long"))
+    kept = phrase_match(docs, query, kw.get("post")).withColumn("query_id", F.lit(0).cast("long"))
     terms = weighted(docs.sparkSession, [(t, 1.0) for t in query.terms])
-    return search(docs, terms, scoring, k, candidates=kept)
+    return search(docs, terms, scoring, k, candidates=kept, **kw)
 
 
 def query_vector(docs: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:

@@ -10,30 +10,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import BlockMaxWand, Okapi, Setting, Wand
 from ..functions.scoring import score_bound, term_score
-from ..operators.search import _small, effective_strategy, search, top_k
-from ..operators.tables import BLOCK, SLICE, corpus_stats, postings, ranked_postings, term_stats
+from ..operators.search import _hint, _small, effective_strategy, query_postings, search, top_k
+from ..operators.tables import BLOCK, SLICE, corpus_stats, number_rows, ranked_postings, term_stats
 
 #: Scores are compared rounded to 6 digits; the bound keeps a margin for that.
 MARGIN = 1e-6
 
 
-def _hits(docs: DataFrame, queries: DataFrame, scoring: Setting) -> DataFrame:
+def _hits(
+    docs: DataFrame, queries: DataFrame, scoring: Setting, post: DataFrame | None = None,
+    stats: DataFrame | None = None,
+) -> DataFrame:
     """Scored postings of all query terms, each with its term's upper bound."""
-    wanted = _small(queries.select("term").distinct())
-    post = postings(docs, wanted)
-    stats = term_stats(post)
+    small = _hint(queries)
+    post = query_postings(docs, small(queries.select("term").distinct()), post)
+    stats = term_stats(post) if stats is None else stats
     corpus = corpus_stats(docs.select("doc_len")).select("n", "avgdl")
-    weighed = _small(queries.join(stats, "term").crossJoin(F.broadcast(corpus)))  # one row of stats
+    # no more rows than the queries have; one row of corpus statistics
+    weighed = queries.join(stats, "term").crossJoin(F.broadcast(corpus))
     col = F.col
     terms = {
         "term": col("term"), "avgdl": col("avgdl"), "n": col("n"), "df": col("doc_freq"),
         "cf": col("collection_freq"), "w": col("weight"),
     }
     bounds = weighed.withColumn("bound", score_bound(scoring, tf=col("max_tf"), **terms))
-    joined = post.join(_small(bounds), "term")
+    joined = post.join(small(bounds), "term")
     return joined.select(
         "query_id", "term", "doc_id", "tf", "bound",
         score_bound(scoring, tf=col("tf"), **terms).alias("own_bound"),
@@ -42,14 +47,14 @@ def _hits(docs: DataFrame, queries: DataFrame, scoring: Setting) -> DataFrame:
 
 
 def pruned(
-    docs: DataFrame, queries: DataFrame, scoring: Setting = Okapi(), k: int = 10, rest: int = 1
+    docs: DataFrame, queries: DataFrame, scoring: Setting = Okapi(), k: int = 10, rest: int = 1, **kw
 ) -> DataFrame:
     """Exact top k in two phases: candidates come from all but the ``rest`` weakest terms.
 
     The k-th best sum over the strong terms is a lower bound of the result; a
     document stays if its sum and the bounds of the weak terms reach it.
     """
-    hits = _hits(docs, queries.select("query_id", "term", "weight"), scoring).drop("own_bound")
+    hits = _hits(docs, queries.select("query_id", "term", "weight"), scoring, **kw).drop("own_bound")
     terms = hits.select("query_id", "term", "bound").distinct()
     order = Window.partitionBy("query_id").orderBy("bound", "term")
     weak = terms.withColumn("weak", F.row_number().over(order) <= rest)
@@ -143,7 +148,7 @@ def _in_slice(k: int):
 
 
 def budgeted(
-    docs: DataFrame, queries: DataFrame, strategy: Setting, scoring: Setting = Okapi(), k: int = 10
+    docs: DataFrame, queries: DataFrame, strategy: Setting, scoring: Setting = Okapi(), k: int = 10, **kw
 ) -> DataFrame:
     """Approximate top k that stops after a budget of scored documents of a query.
 
@@ -151,15 +156,20 @@ def budgeted(
     score before it.  What it skips can't be among the k best so far, so that
     score is the one of all documents before, and slices of doc_ids are walked
     apart, each from the best scores of the slices before it.  Running counts
-    of scored documents then tell where the budget ends.  Without a budget the
+    of scored documents then tell where the budget ends.  Ids keep their types:
+    those that aren't numbers are walked in their order.  Without a budget the
     result is the exact one of ``pruned``; each document with a term is scored.
     """
-    queries = queries.select(F.col("query_id").cast("long"), "term", "weight")
+    queries = queries.select("query_id", "term", "weight")
     budget = strategy.top_k_budget
-    hits = _hits(docs, queries, scoring)
     if not budget:
+        hits = _hits(docs, queries, scoring, **kw)
         every = hits.groupBy("query_id").agg(F.count_distinct("doc_id").alias("scored_docs"))
-        return pruned(docs, queries, scoring, k).join(_small(every), "query_id")
+        return pruned(docs, queries, scoring, k, **kw).join(_small(every), "query_id")
+    if any(isinstance(df.schema[c].dataType, StringType) for df, c in ((docs, "doc_id"), (queries, "query_id"))):
+        return _budgeted_by_number(docs, queries, strategy, scoring, k, **kw)
+    queries = queries.withColumn("query_id", F.col("query_id").cast("long"))
+    hits = _hits(docs, queries, scoring, **kw)
     placed = _reach(hits, isinstance(strategy, BlockMaxWand))
     each = F.sort_array(F.collect_list(F.struct("term", "part", "reach")))
     total = lambda name: F.aggregate("each", F.lit(0.0), lambda x, y: x + y[name])
@@ -201,11 +211,40 @@ def budgeted(
     return top_k(counted.select("query_id", "doc_id", "score", "scored_docs"), k)
 
 
+def _numbers(ids: DataFrame, name: str, number: str) -> DataFrame:
+    """(name, number): dense numbers in the order of the ids, range by range."""
+    ranged = ids.repartitionByRange(name).sortWithinPartitions(name)
+    return number_rows(ranged, number).select(name, number)
+
+
+def _budgeted_by_number(
+    docs: DataFrame, queries: DataFrame, strategy: Setting, scoring: Setting, k: int,
+    post: DataFrame | None = None, stats: DataFrame | None = None,
+) -> DataFrame:
+    """``budgeted`` for ids that aren't numbers: the walk sees their numbers."""
+    of_doc = _numbers(docs.select("doc_id").distinct(), "doc_id", "_doc")
+    of_query = _numbers(queries.select("query_id").distinct(), "query_id", "_query")
+    named = lambda df, ids, name, number: (
+        df.join(ids, name).drop(name).withColumnRenamed(number, name)
+    )
+    if post is not None:
+        post = named(post, of_doc, "doc_id", "_doc")
+    found = budgeted(
+        named(docs, of_doc, "doc_id", "_doc"), named(queries, of_query, "query_id", "_query"),
+        strategy, scoring, k, post=post, stats=stats,
+    )
+    back = found.withColumnsRenamed({"doc_id": "_doc", "query_id": "_query"})
+    return (
+        back.join(of_doc, "_doc").join(of_query, "_query")
+        .select("query_id", "doc_id", "score", "scored_docs", "rank")
+    )
+
+
 def retrieve(
-    docs: DataFrame, queries: DataFrame, strategy: Setting, scoring: Setting = Okapi(), k: int = 10
+    docs: DataFrame, queries: DataFrame, strategy: Setting, scoring: Setting = Okapi(), k: int = 10, **kw
 ) -> DataFrame:
     """Top k of every query by the given strategy."""
     strategy = effective_strategy(strategy, scoring)
     if isinstance(strategy, (Wand, BlockMaxWand)) and strategy.top_k_budget:
-        return budgeted(docs, queries, strategy, scoring, k).drop("scored_docs")
-    return search(docs, queries, scoring, k)
+        return budgeted(docs, queries, strategy, scoring, k, **kw).drop("scored_docs")
+    return search(docs, queries, scoring, k, **kw)

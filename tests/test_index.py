@@ -146,6 +146,51 @@ def test_save_and_load(spark, tmp_path):
         BM25Index.load(str(tmp_path), spark=spark)
 
 
+def test_terms_of_deleted_documents_stay_known(spark, tmp_path):
+    docs = [("a", "rust engine"), ("b", "zebra rust"), ("c", "rust tools")]
+    i = index(spark, docs=docs)
+    i.delete("b")
+    both = BooleanQuery(must=["rust", "zebra"])
+    assert i.search_boolean(both) == []
+    assert {h.doc_id for h in i.search_boolean(BooleanQuery(must=["rust", "unheard"]))} == {"a", "c"}
+    i.save(str(tmp_path / "index"))
+    j = BM25Index.load(str(tmp_path / "index"), "mmap", spark)
+    assert j.search_boolean(both) == []
+    i.compact()
+    assert {h.doc_id for h in i.search_boolean(both)} == {"a", "c"}
+
+
+def test_loaded_index_reads_postings_of_its_buckets_and_no_text(spark, tmp_path):
+    i = index(spark, docs=[f"word{k} common text{k % 3}" for k in range(40)])
+    i.save(str(tmp_path / "index"))
+    j = BM25Index.load(str(tmp_path / "index"), "mmap", spark)
+    one = spark.createDataFrame([(0, "word7 common")], "query_id long, text string")
+    found = j.search_batch(one)
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    held = [line for line in scans if "tf:" in line or "doc_freq:" in line]
+    assert held and all("bucket#" in line.split("PartitionFilters: [")[1].split("]")[0] for line in held)
+    assert not any("text:string" in line or "tokens:array" in line for line in scans)
+    assert [(r.doc_id, r.rank) for r in found.collect()] == [(r.doc_id, r.rank) for r in i.search_batch(one).collect()]
+
+
+def test_loaded_index_changes_as_a_fresh_one(spark, tmp_path):
+    i = index(spark)
+    i.save(str(tmp_path / "index"))
+    j = BM25Index.load(str(tmp_path / "index"), "mmap", spark)
+    for x in (i, j):
+        x.insert_batch([("new", "rust search new"), ("gone", "search")])
+        x.delete("doc-0")
+        x.delete("gone")
+    for query in ("rust", "search", "new rust"):
+        assert hits(i.search(query)) == hits(j.search(query))
+    phrase, boolean = PhraseQuery(["rust", "search"], 1), BooleanQuery(must=["rust"], must_not=["new"])
+    assert hits(i.search_phrase(phrase)) == hits(j.search_phrase(phrase))
+    assert i.phrase_match(["rust", "search"]) == j.phrase_match(["rust", "search"])
+    assert hits(i.search_boolean(boolean)) == hits(j.search_boolean(boolean))
+    assert i.stats() == j.stats() | {"build_timestamp_unix": i.built} and i.vocabulary == j.vocabulary
+
+
 def test_log(spark, tmp_path):
     path = str(tmp_path / "log")
     i = index(spark)

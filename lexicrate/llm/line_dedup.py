@@ -37,9 +37,9 @@ NO_ID = (1 << 63) - 1
 STOPS = byte_class(b".!?")
 CHUNK = 2 << 20
 
-BLOCKS = "bucket long, chunk long, keys binary, docs binary, places binary, at binary, own binary"
+BLOCKS = "bucket long, chunk long, keys binary, places binary, at binary, own binary"
 CUTS = "id long, text_hash long, spans array<int>, words long"
-_NAMES = ("bucket", "chunk", "keys", "docs", "places", "at", "own")
+_NAMES = ("bucket", "chunk", "keys", "places", "at", "own")
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher):
@@ -154,13 +154,24 @@ def _marked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
+LEVEL = 3
+
+
 def _blob(*arrays: np.ndarray, data: bytes = b"") -> bytes:
-    """Arrays of 64-bit values behind one another, with their lengths in front; then bytes."""
+    """Arrays of 64-bit values behind one another, with their lengths in front; then bytes.
+
+    Arrays are stored as steps, byte plane by byte plane, as most of them ascend slowly.
+    """
     import zstandard
 
     head = np.array([len(arrays), *map(len, arrays)], np.int64)
-    parts = [head.tobytes(), *(a.astype(np.int64).tobytes() for a in arrays), data]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    planes = []
+    for a in arrays:
+        with np.errstate(over="ignore"):
+            steps = np.diff(a.astype(np.int64), prepend=np.int64(0))
+        zigzag = (steps << 1) ^ (steps >> 63)
+        planes.append(np.ascontiguousarray(zigzag.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([head.tobytes(), *planes, data]))
 
 
 def _arrays(blob: bytes) -> list[np.ndarray]:
@@ -171,30 +182,35 @@ def _arrays(blob: bytes) -> list[np.ndarray]:
     n = int(raw[:8].view(np.int64)[0])
     lengths = raw[8 : 8 * (1 + n)].view(np.int64)
     cuts = 8 * np.cumsum(np.append(1 + n, lengths))
-    return [raw[a:b].view(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)] + [raw[cuts[-1] :]]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        zigzag = np.ascontiguousarray(raw[a:b].reshape(8, -1).T).view(np.uint64).ravel()
+        half = (zigzag >> np.uint64(1)).view(np.int64)
+        with np.errstate(over="ignore"):
+            out.append(np.cumsum(half ^ -(zigzag & np.uint64(1)).view(np.int64)))
+    return [*out, raw[cuts[-1] :]]
 
 
 def _table(rows: list[tuple]):
     import pyarrow as pa
 
-    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
     return pa.Table.from_arrays(
         [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], list(_NAMES)
     )
 
 
 def _deal(keys, others: list[np.ndarray], buckets: int, chunk: int) -> list[tuple]:
-    """Rows of sorted distinct keys by bucket; ``others`` go along with them."""
+    """Rows of distinct keys by bucket, in the order of the last of ``others``, which go along with them."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((others[-1], bucket))
     there, at = np.unique(bucket[order], return_index=True)
     at = np.append(at, len(keys))
     rows = []
     for b, i, j in zip(there, at, at[1:], strict=False):
         part = order[i:j]
-        more = [x[part].tobytes() for x in others] + [None] * (3 - len(others))
-        rows.append((int(b), chunk, keys[part].tobytes(), *more, None))
+        rows.append((int(b), chunk, keys[part].tobytes(), _blob(*[x[part] for x in others]), None, None))
     return rows
 
 
@@ -210,9 +226,9 @@ def _read(df: DataFrame, gram: int, run_words: int, buckets: int) -> DataFrame:
                 chunk = next(chunks)
                 _, value = _words(data, offsets, hasher).fingerprints(gram, run_words)
                 keys, n = np.unique(value, return_counts=True)
-                rows = _deal(keys, [np.minimum(n, 2).astype(np.uint8)], buckets, chunk)
+                rows = _deal(keys, [np.minimum(n, 2)], buckets, chunk)
                 own = _blob(ids[lo:hi], hashes[lo:hi], offsets, data=data.tobytes())
-                rows.append((own_group(chunk), chunk, None, None, None, None, own))
+                rows.append((own_group(chunk), chunk, None, None, None, own))
                 yield from _table(rows).to_batches()
 
     return df.select(
@@ -232,7 +248,7 @@ def _repeated(table):
     real = [r for r in rows if r["own"] is None]
     if real:
         parts = [np.frombuffer(r["keys"], np.uint64) for r in real]
-        counts = np.concatenate([np.frombuffer(r["docs"], np.uint8) for r in real])
+        counts = np.concatenate([_arrays(r["places"])[0] for r in real])
         _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         often = np.bincount(inverse, weights=counts)[inverse] > 1
         a = 0
@@ -240,7 +256,7 @@ def _repeated(table):
             keep = part[often[a : a + len(part)]]
             a += len(part)
             if len(keep):
-                out.append((r["bucket"], r["chunk"], keep.tobytes(), None, None, None, None))
+                out.append((r["bucket"], r["chunk"], keep.tobytes(), None, None, None))
     return _table(out)
 
 
@@ -265,13 +281,12 @@ def _extend(gram: int, run_words: int, buckets: int):
         order = np.lexsort((place, ids[row], inverse))
         lead = order[np.searchsorted(inverse[order], np.arange(len(keys)))]
         deal = _deal(
-            keys, [ids[row][lead], place[lead].astype(np.uint32), first[lead].astype(np.uint32)],
-            buckets, chunk,
+            keys, [ids[row][lead], place[lead], first[lead]], buckets, chunk
         )
         # a place that isn't the chunk's own first one is later in any case
         late = (ids[row] != ids[row][lead][inverse]) | (place != place[lead][inverse])
         deal.append(
-            (own_group(chunk), chunk, None, None, None, None,
+            (own_group(chunk), chunk, None, None, None,
              _blob(ids, hashes, words.per_row, first[late]))
         )
         return _table(deal)
@@ -286,18 +301,18 @@ def _first(table):
     real = [r for r in rows if r["own"] is None]
     if real:
         parts = [np.frombuffer(r["keys"], np.uint64) for r in real]
-        ids = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in real])
-        places = np.concatenate([np.frombuffer(r["places"], np.uint32) for r in real])
+        opened = [_arrays(r["places"]) for r in real]
+        ids, places, at = (np.concatenate([x[k] for x in opened]) for k in range(3))
         keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         order = np.lexsort((places, ids, inverse))
         lead = order[np.searchsorted(inverse[order], np.arange(len(keys)))]
         late = (ids != ids[lead][inverse]) | (places != places[lead][inverse])
         a = 0
         for r, part in zip(real, parts, strict=True):
-            keep = np.frombuffer(r["at"], np.uint32)[late[a : a + len(part)]]
+            keep = at[a : a + len(part)][late[a : a + len(part)]]
             a += len(part)
             if len(keep):
-                out.append((r["bucket"], r["chunk"], None, None, None, keep.tobytes(), None))
+                out.append((r["bucket"], r["chunk"], None, None, _blob(keep), None))
     return _table(out)
 
 
@@ -310,8 +325,8 @@ def _cuts(gram: int):
         rows = table.to_pylist()
         blob = next(r["own"] for r in rows if r["own"] is not None)
         ids, hashes, per_row, late, _ = _arrays(blob)
-        known = [np.frombuffer(r["at"], np.uint32) for r in rows if r["at"] is not None]
-        first = np.concatenate([late, *known]).astype(np.int64)
+        known = [_arrays(r["at"])[0] for r in rows if r["at"] is not None]
+        first = np.concatenate([late, *known])
         gone = _marked(first, first + gram, int(per_row.sum()))
         row = np.repeat(np.arange(len(per_row)), per_row)
         begin = np.cumsum(per_row) - per_row

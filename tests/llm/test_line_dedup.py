@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexicrate.llm.line_dedup import _words, dedup_lines, op4_line_dedup, repeated_words, without
+from lexicrate.llm.line_dedup import _arrays, _blob, _words, dedup_lines, op4_line_dedup, repeated_words, without
 from lexicrate.llm.shared import WordHasher
 
 from .helpers import SPACED, frame, odd_texts, prose
@@ -219,6 +219,12 @@ def test_cut_texts(text, spans, left):
     assert without(text, np.array(spans))[0] == left
 
 
+def test_blobs():
+    arrays = [np.array(x, np.int64) for x in ([], [5, 7, 7, 2], [-(2**63), 2**63 - 1, 0, -1])]
+    *back, data = _arrays(_blob(*arrays, data=b"text"))
+    assert [a.tolist() for a in back] == [a.tolist() for a in arrays] and data.tobytes() == b"text"
+
+
 def test_clashing_columns(spark):
     df = frame(spark, planted(1))
     names = ["removed_lines", "_id", "_hash", "removed_words", "_d", "_h", "doc_key", "cut_id", "hash_key", "cut_hash"]

@@ -22,6 +22,7 @@ each distinct gram once, with its first place.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ from .shared import (
 GRAM_WORDS, RUN_WORDS = 20, 40
 NO_ID = (1 << 63) - 1
 STOPS = byte_class(b".!?")
-CHUNK = 2 << 20
+CHUNK, BUCKET_BYTES = 2 << 20, 4 << 20
 
 BLOCKS = "bucket long, chunk long, keys binary, places binary, at binary, own binary"
 CUTS = "id long, text_hash long, spans array<int>, words long"
@@ -157,13 +158,19 @@ def _marked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 LEVEL = 3
 
 
+@cache
+def _zstd():
+    """One compressor and one decompressor for all blobs of a process."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+
+
 def _blob(*arrays: np.ndarray, data: bytes = b"") -> bytes:
     """Arrays of 64-bit values behind one another, with their lengths in front; then bytes.
 
     Arrays are stored as steps, byte plane by byte plane, as most of them ascend slowly.
     """
-    import zstandard
-
     head = np.array([len(arrays), *map(len, arrays)], np.int64)
     planes = []
     for a in arrays:
@@ -171,14 +178,12 @@ def _blob(*arrays: np.ndarray, data: bytes = b"") -> bytes:
             steps = np.diff(a.astype(np.int64), prepend=np.int64(0))
         zigzag = (steps << 1) ^ (steps >> 63)
         planes.append(np.ascontiguousarray(zigzag.view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([head.tobytes(), *planes, data]))
+    return _zstd()[0].compress(b"".join([head.tobytes(), *planes, data]))
 
 
 def _arrays(blob: bytes) -> list[np.ndarray]:
     """The arrays of ``_blob``, and its bytes at the end."""
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    raw = np.frombuffer(_zstd()[1].decompress(blob), np.uint8)
     n = int(raw[:8].view(np.int64)[0])
     lengths = raw[8 : 8 * (1 + n)].view(np.int64)
     cuts = 8 * np.cumsum(np.append(1 + n, lengths))
@@ -357,7 +362,7 @@ def repeated_words(
 
     ``spans`` holds the first word of every run and the one behind its last, in turn.
     """
-    buckets = buckets_for(df, 1 << 20)
+    buckets = buckets_for(df, BUCKET_BYTES)
     return (
         _read(df, gram_words, run_words, buckets)
         .groupBy("bucket").applyInArrow(_repeated, BLOCKS)

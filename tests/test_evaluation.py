@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import lexicrate as lx
-from lexicrate.config import BlockMaxWand, BM25Config, FusionConfig, Okapi, TokenizerConfig, Wand
-from lexicrate.errors import InvalidArgument
+from lexicrate.config import BlockMaxWand, BM25Config, FusionConfig, Okapi, Snowball, TokenizerConfig, Wand
+from lexicrate.errors import InvalidArgument, TokenizerError
 from lexicrate.functions.scoring import field_factor
 from lexicrate.config import Bm25F, FieldWeight
 from lexicrate.operators import expansion, fusion
@@ -14,7 +14,8 @@ from lexicrate.operators.metrics import LatencyProfiler, evaluate, nearest_rank
 from lexicrate.operators.search import WeightedQuery, effective_strategy, weighted
 from lexicrate.operators.tables import number_rows
 from lexicrate.config import ExhaustiveDAAT, MaxScore, TfIdf
-from lexicrate.plans.reports import run_benchmark
+from lexicrate.functions.stemming import stemmer_for
+from lexicrate.plans.reports import recall_degradation, run_benchmark
 from lexicrate.plans import strategies
 from lexicrate.plans.strategies import budgeted
 from lexicrate.operators.tables import document_tokens
@@ -203,3 +204,22 @@ def test_budgets_have_no_group_of_a_whole_query(spark):
     plan = lambda s: budgeted(tokens, terms, s)._jdf.queryExecution().optimizedPlan().toString()
     assert "InArrow" not in plan(Wand())
     assert "FlatMapCoGroupsInArrow" in plan(Wand(5)) and "FlatMapCoGroupsInArrow" in plan(BlockMaxWand(5))
+
+
+def test_degradation_and_budgets_on_string_ids(spark):
+    docs = spark.createDataFrame(
+        [(f"d{i}", ["rust"] * (i % 4) + ["code", f"w{i % 7}"]) for i in range(60)], "doc_id string, tokens array<string>"
+    ).selectExpr("doc_id", "tokens", "cast(size(tokens) as bigint) as doc_len")
+    terms = [(f"q{k}", t, 1.0) for k, t in enumerate(["rust", "code", "w3"])] + [("q0", "w5", 1.0)]
+    queries = spark.createDataFrame(terms, "query_id string, term string, weight double")
+    out = {(r.strategy, r.k): r.recall for r in recall_degradation(docs, queries, budget=1000).collect()}
+    assert len(out) == 9 and all(v == 1.0 for v in out.values())
+    some = budgeted(docs, queries, Wand(5), k=3).collect()
+    assert {r.query_id for r in some} <= {"q0", "q1", "q2"} and all(r.doc_id.startswith("d") for r in some)
+    assert max(r.scored_docs for r in some) <= 5
+
+
+def test_unwritten_stemmers_are_errors(spark):
+    with pytest.raises(TokenizerError):
+        stemmer_for(Snowball("it"))
+    assert stemmer_for(Snowball("??"))("running") == "run"

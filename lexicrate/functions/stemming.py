@@ -1,8 +1,8 @@
 """Snowball stemmers, written from the published algorithms.
 
 English is the revised Porter algorithm; German, French and Spanish follow their
-Snowball descriptions.  A language without a stemmer of its own gets the
-English one.
+Snowball descriptions, as do the languages of ``stemming_more``.  A name that is no
+language gets the English one.
 """
 
 from __future__ import annotations
@@ -11,20 +11,10 @@ from collections.abc import Callable
 
 from ..config import NoOp, Porter, Setting, Snowball
 from ..errors import TokenizerError
-
-
-def _region(word: str, vowels: str, start: int = 0) -> int:
-    """Where the part behind the first consonant after a vowel begins."""
-    for i in range(start + 1, len(word)):
-        if word[i] not in vowels and word[i - 1] in vowels:
-            return i + 1
-    return len(word)
-
-
-def _longest(word: str, endings) -> str:
-    """The longest of the endings that the word has, or nothing."""
-    return max((e for e in endings if word.endswith(e)), key=len, default="")
-
+from .regions import longest as _longest
+from .regions import region as _region
+from .regions import verb_region as _rv
+from .stemming_more import danish, dutch, italian, norwegian, portuguese, russian, swedish
 
 # -- English -------------------------------------------------------------------
 
@@ -218,16 +208,6 @@ _ES_VERB = (
 )
 
 
-def _rv(word: str, vowels: str) -> int:
-    if len(word) < 3:
-        return len(word)
-    if word[1] not in vowels:
-        return next((i + 1 for i in range(2, len(word)) if word[i] in vowels), len(word))
-    if word[0] in vowels:
-        return next((i + 1 for i in range(2, len(word)) if word[i] not in vowels), len(word))
-    return 3
-
-
 def spanish(word: str) -> str:
     rv = _rv(word, _ES_VOWELS)
     r1 = _region(word, _ES_VOWELS)
@@ -433,14 +413,13 @@ def french(word: str) -> str:
 
 STEMMERS: dict[str, Callable[[str], str]] = {
     "en": english, "de": german, "es": spanish, "fr": french,
+    "da": danish, "nl": dutch, "it": italian, "no": norwegian, "pt": portuguese, "ru": russian, "sv": swedish,
 }
 
 
 #: Languages whose stemmers are not written; their words are never stemmed as English ones.
 UNWRITTEN = {
-    "ar": "Arabic", "da": "Danish", "nl": "Dutch", "fi": "Finnish", "hu": "Hungarian", "it": "Italian",
-    "no": "Norwegian", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sv": "Swedish",
-    "ta": "Tamil", "tr": "Turkish",
+    "ar": "Arabic", "fi": "Finnish", "hu": "Hungarian", "ro": "Romanian", "ta": "Tamil", "tr": "Turkish",
 }
 
 

@@ -7,8 +7,8 @@ first duplicate cap or stemmer on run in Arrow batches behind it.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,10 @@ from .stopwords import stopwords
 #: separators, joined by underscores; a token must hold a letter or digit.
 UNICODE_WORD = r"(?:[\p{L}\p{M}](?:['’.:·][\p{L}\p{M}])*|\p{N}(?:['’.,;]\p{N})*|_)+"
 
+SPACES = r"(?U)\s+"
+#: Tokens that Python looks at together.
+CHUNK_TOKENS = 1 << 19
+
 
 def _ngrams(parts: Column, n: int, glue: str) -> Column:
     """Runs of n parts, zipped from shifted copies: no lambda looks at ``parts`` itself,
@@ -74,7 +78,7 @@ def _glue(kind: Ngram) -> str:
 def base_tokens(text: Column, kind: Setting) -> Column:
     """The tokens of a text before any filter."""
     if isinstance(kind, Whitespace):
-        return F.filter(F.split(text, r"(?U)\s+", -1), lambda w: w != "")
+        return F.filter(F.split(text, SPACES, -1), lambda w: w != "")
     if isinstance(kind, Regex):
         try:
             re.compile(re.sub(r"\\[pP]\{\w+\}", r"\\w", kind.pattern))
@@ -88,31 +92,76 @@ def base_tokens(text: Column, kind: Setting) -> Column:
     raise TokenizerError(f"not a tokenizer: {kind}")
 
 
-def apply_filter(tokens: Column, step: Setting) -> Column:
-    """A filter that needs no counting."""
-    if isinstance(step, Lowercase):
-        return F.transform(tokens, F.lower)
+def _test(word: Column, step: Setting) -> Column | None:
+    """Whether a filter keeps a word; None where it keeps all."""
     if isinstance(step, Stopwords):
         words = stopwords(step.lang)
-        return F.filter(tokens, lambda w: ~w.isin(*words)) if words else tokens
+        return ~word.isin(*words) if words else None
     if isinstance(step, Length):
-        return F.filter(tokens, lambda w: F.char_length(w).between(step.min_len, step.max_len))
+        return F.char_length(word).between(step.min_len, step.max_len)
     raise TokenizerError(f"not a filter: {step}")
 
 
+def _tested(tokens: Column, steps: list[Setting], filled: bool) -> Column:
+    """The tokens that pass all tests, in one pass; ``filled`` drops empty ones too."""
+
+    def keep(word: Column) -> Column:
+        tests = [word != ""] if filled else []
+        tests += [t for t in (_test(word, s) for s in steps) if t is not None]
+        return reduce(lambda x, y: x & y, tests, F.lit(True))
+
+    return F.filter(tokens, keep) if filled or steps else tokens
+
+
+def filtered_tokens(text: Column, kind: Setting, steps: list[Setting], tokens: Column | None = None) -> Column:
+    """The tokens behind filters that need no counting; tests in a row take one pass.
+
+    Words between spaces are the same if the whole text is lower-cased first: a
+    space is no part of what the case of a letter depends on.
+    """
+    spaced, steps = isinstance(kind, Whitespace), list(steps)
+    if spaced and steps and isinstance(steps[0], Lowercase):
+        text, steps = F.lower(text), steps[1:]
+    if tokens is None:
+        tokens = F.split(text, SPACES, -1) if spaced else base_tokens(text, kind)
+    filled, tests = spaced, []
+    for step in steps:
+        if isinstance(step, Lowercase):
+            tokens = F.transform(_tested(tokens, tests, filled), F.lower)
+            filled, tests = False, []
+        else:
+            tests.append(step)
+    return _tested(tokens, tests, filled)
+
+
 def native_tokens(text: Column, config: TokenizerConfig) -> Column:
     """The tokens as one expression, for a config without caps and stemming."""
     steps = [*config.filters, Length(config.min_token_len, config.max_token_len)]
     if not isinstance(config.stemmer, NoOp) or any(isinstance(s, DuplicateCap) for s in steps):
         raise TokenizerError("duplicate caps and stemmers are not expressions; use analyze()")
-    tokens = base_tokens(F.coalesce(text, F.lit("")), config.tokenizer)
-    for step in steps:
-        tokens = apply_filter(tokens, step)
-    return tokens
+    return filtered_tokens(F.coalesce(text, F.lit("")), config.tokenizer, steps)
+
+
+def token_chunks(batch, at: int) -> Iterator:
+    """(rows, tokens in one array, row of each token), at most about CHUNK_TOKENS tokens at a time."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(int(np.searchsorted(ends, before + CHUNK_TOKENS, "right")), lo + 1)
+        rows = batch.slice(lo, hi - lo)
+        yield rows, pc.list_flatten(rows.column(at)), np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        lo = hi
 
 
 def _rest(steps: list[Setting], stem):
-    """The steps that run in Python, on lists of tokens."""
+    """The steps that run in Python, on an array of tokens and the row of each.
+
+    Words are looked at once a chunk; the tokens follow by number.
+    """
     memo: dict[str, str] = {}
 
     def stemmed(word: str) -> str:
@@ -123,28 +172,62 @@ def _rest(steps: list[Setting], stem):
                 memo[word] = out
         return out
 
-    def run(tokens: list[str]) -> list[str]:
+    def run(tokens, row):
+        import numpy as np
+        import pyarrow as pa
+
+        def words(tokens):
+            found = tokens.dictionary_encode()
+            return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+
+        def mapped(tokens, change):
+            names, at = words(tokens)
+            return pa.array([change(w) for w in names], pa.string()).take(pa.array(at))
+
+        def kept(tokens, row, keep):
+            return tokens.filter(pa.array(keep)), row[keep]
+
         for step in steps:
+            if isinstance(step, Lowercase):
+                tokens = mapped(tokens, str.lower)
+                continue
+            names, at = words(tokens)
             if isinstance(step, DuplicateCap):
-                seen: Counter[str] = Counter()
-                kept = []
-                for t in tokens:
-                    seen[t] += 1
-                    if seen[t] <= step.max_per_doc:
-                        kept.append(t)
-                tokens = kept
-            elif isinstance(step, Lowercase):
-                tokens = [t.lower() for t in tokens]
-            elif isinstance(step, Stopwords):
-                words = set(stopwords(step.lang))
-                tokens = [t for t in tokens if t not in words]
-            elif isinstance(step, Length):
-                tokens = [t for t in tokens if step.min_len <= len(t) <= step.max_len]
-        return [stemmed(t) for t in tokens] if stem else tokens
+                key = row.astype(np.int64) * max(len(names), 1) + at
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                nth = np.arange(len(key)) - np.repeat(first, np.diff(first, append=len(key)))
+                keep = np.zeros(len(key), bool)
+                keep[order[nth < step.max_per_doc]] = True
+            else:
+                if isinstance(step, Stopwords):
+                    gone = set(stopwords(step.lang))
+                    good = [w not in gone for w in names]
+                else:
+                    good = [step.min_len <= len(w) <= step.max_len for w in names]
+                keep = np.array(good, bool)[at]
+            tokens, row = kept(tokens, row, keep)
+        return (mapped(tokens, stemmed) if stem else tokens), row
 
     return run
 
 
+def stemmed_terms(counts: DataFrame, stemmer: Setting) -> DataFrame:
+    """``counts(term, n)`` of words as counts of their stems: each word is stemmed once a task."""
+    stem = stemmer_for(stemmer)
+    if stem is None:
+        return counts
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            stems = pa.array([stem(w) for w in batch.column("term").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([stems, batch.column("n")], ["term", "n"])
+
+    return counts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def analyze(
     df: DataFrame, config: TokenizerConfig = TokenizerConfig(), text: str = "text", out: str = "tokens"
 ) -> DataFrame:
@@ -160,9 +243,8 @@ def analyze(
         df = df.withColumn("_parts", _parts(whole, config.tokenizer))
         tokens = _windows(F.col("_parts"), config.tokenizer, _glue(config.tokenizer))
     else:
-        names, tokens = df.columns, base_tokens(whole, config.tokenizer)
-    for step in steps[:cut]:
-        tokens = apply_filter(tokens, step)
+        names, tokens = df.columns, None
+    tokens = filtered_tokens(whole, config.tokenizer, steps[:cut], tokens)
     stem = stemmer_for(config.stemmer)
     df = df.select(*[c for c in names if c != out], tokens.alias(out))
     if cut == len(steps) and stem is None:
@@ -171,12 +253,16 @@ def analyze(
     later = steps[cut:]
 
     def run(batches) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         work = _rest(later, stem)
         for batch in batches:
-            column = pa.array([work(t or []) for t in batch.column(at).to_pylist()], pa.list_(pa.string()))
-            yield batch.set_column(at, out, column)
+            for rows, tokens, row in token_chunks(batch, at):
+                tokens, row = work(tokens, row)
+                ends = np.cumsum(np.bincount(row, minlength=len(rows)), dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), tokens)
+                yield rows.set_column(at, out, lists)
 
     fields = [
         T.StructField(out, T.ArrayType(T.StringType())) if f.name == out else f for f in df.schema

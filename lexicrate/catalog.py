@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from .config import (
     Lowercase,
     MaxScore,
     Ngram,
+    NoOp,
     Okapi,
     Regex,
     Setting,
@@ -29,7 +31,7 @@ from .config import (
     Wand,
     Whitespace,
 )
-from .functions.analysis import analyze
+from .functions.analysis import analyze, stemmed_terms
 from .operators import expansion, fusion
 from .operators.metrics import evaluate, percentile_column
 from .operators.search import (
@@ -177,10 +179,9 @@ def _budget(spark, sf_dir):
 
 def _vocabulary(name: str, config: TokenizerConfig) -> None:
     def run(spark, sf_dir):
-        docs = analyze(table(spark, sf_dir).select("doc_id", "text"), config)
-        return (
-            docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-        )
+        docs = analyze(table(spark, sf_dir).select("doc_id", "text"), replace(config, stemmer=NoOp()))
+        words = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        return stemmed_terms(words, config.stemmer)  # stemming comes last, so counting may come before it
 
     QUERIES[name] = run
 

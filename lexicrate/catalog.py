@@ -38,7 +38,7 @@ from .operators.search import (
     BooleanQuery,
     PhraseQuery,
     bag_of_words,
-    document_vector,
+    document_vectors,
     query_vector,
     scored,
     search,
@@ -51,10 +51,10 @@ from .operators.tables import (
     blocks,
     corpus_stats,
     document_tokens,
+    numbered_terms,
     occurrences,
     postings,
     term_stats,
-    with_term_ids,
 )
 from .plans.reports import recall_degradation, variant_comparison
 from .plans.strategies import budgeted, pruned, retrieve
@@ -72,9 +72,13 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokens_of(spark: SparkSession, sf_dir: str, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
+def token_table(spark: SparkSession, sf_dir: str, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
     docs = document_tokens(table(spark, sf_dir).select("doc_id", "text"), config)
-    return docs.select("doc_id", "tokens", "doc_len").persist()
+    return docs.select("doc_id", "tokens", "doc_len")
+
+
+def tokens_of(spark: SparkSession, sf_dir: str, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
+    return token_table(spark, sf_dir, config).persist()
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -223,8 +227,7 @@ def _terms(spark, sf_dir):
 
 @query("idx_term_ids")
 def _term_ids(spark, sf_dir):
-    post = postings(tokens_of(spark, sf_dir), positions=True)
-    return with_term_ids(term_stats(post), post).select("term", "term_id", "doc_freq")
+    return numbered_terms(token_table(spark, sf_dir)).select("term", "term_id", "doc_freq")
 
 
 @query("idx_postings")
@@ -422,9 +425,8 @@ def _latency(spark, sf_dir):
 
 @query("sparse_query_vector")
 def _query_vector(spark, sf_dir):
-    docs = tokens_of(spark, sf_dir)
-    post = postings(docs, positions=True)
-    terms = with_term_ids(term_stats(post), post)
+    docs = token_table(spark, sf_dir)
+    terms = numbered_terms(docs)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     out = query_vector(docs, bag_of_words(items), terms)
     return out.select("query_id", "term_id", F.round("weight", 6).alias("weight"))
@@ -432,8 +434,7 @@ def _query_vector(spark, sf_dir):
 
 @query("sparse_doc_vector")
 def _doc_vector(spark, sf_dir):
-    post = postings(tokens_of(spark, sf_dir), positions=True)
-    return document_vector(post, with_term_ids(term_stats(post), post))
+    return document_vectors(token_table(spark, sf_dir))
 
 
 @query("export_corpus")

@@ -15,7 +15,16 @@ from pyspark.sql import functions as F
 from ..config import ExhaustiveDAAT, MaxScore, Okapi, Setting, TfIdf, TokenizerConfig
 from ..functions.analysis import analyze
 from ..functions.scoring import term_score
-from .tables import corpus_stats, occurrences, postings, term_stats
+from .tables import (
+    corpus_stats,
+    ids_repeat,
+    numbered_terms,
+    occurrences,
+    packed_postings,
+    postings,
+    term_stats,
+    unpacked,
+)
 
 DIGITS = 6
 #: Up to so many query terms are broadcast; beyond that the join shuffles.
@@ -256,3 +265,12 @@ def query_vector(docs: DataFrame, queries: DataFrame, terms: DataFrame) -> DataF
 def document_vector(post: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term_id, weight): the frequency of each term of the documents."""
     return post.join(terms, "term").select("doc_id", "term_id", F.col("tf").cast("double").alias("weight"))
+
+
+def document_vectors(docs: DataFrame) -> DataFrame:
+    """``document_vector`` of all documents; postings meet their numbers packed by term."""
+    terms = numbered_terms(docs).select("term", "term_id")
+    if ids_repeat(docs):
+        return document_vector(postings(docs), terms)
+    found = unpacked(packed_postings(docs).select("term", "doc_ids", "tfs").join(terms, "term"), "term_id")
+    return found.select("doc_id", "term_id", F.col("tf").cast("double").alias("weight"))

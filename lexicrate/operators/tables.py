@@ -10,11 +10,14 @@ blocks    term, block_no, start_doc_id, end_doc_id, max_tf, n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import TokenizerConfig
-from ..functions.analysis import analyze
+from ..functions.analysis import analyze, token_chunks
 
 BLOCK = 64
 MAX_TF = 65_535
@@ -95,6 +98,92 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, positions: bool =
     return found.agg(*parts)
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether any doc_id has several rows or is null; counted once, from the ids alone."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def packed_postings(docs: DataFrame, lists: bool = True) -> DataFrame:
+    """Postings packed by term for a batch of documents at a time, before anything is shuffled.
+
+    (term, slice, doc_freq, collection_freq, max_tf, first_doc, first_pos), and with
+    ``lists`` also doc_ids and tfs, in the order of doc_id.  A slice is SLICE doc_ids
+    wide where they are numbers.  Each doc_id has one row in ``docs``.
+    """
+    kind = docs.schema["doc_id"].dataType
+    fields = [
+        T.StructField("term", T.StringType()), T.StructField("slice", T.LongType()),
+        T.StructField("doc_freq", T.LongType()), T.StructField("collection_freq", T.LongType()),
+        T.StructField("max_tf", T.LongType()), T.StructField("first_doc", kind),
+        T.StructField("first_pos", T.LongType()),
+    ]
+    if lists:
+        fields += [T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("tfs", T.ArrayType(T.LongType()))]
+    sliced = isinstance(kind, T.IntegralType)
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for rows, tokens, row in token_chunks(batch, 1):
+                ids = rows.column(0)
+                order = pc.sort_indices(ids)
+                ids, order = ids.take(order), order.to_numpy()
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                cut = pc.fill_null(pc.cast(ids, pa.int64()), 0).to_numpy() // SLICE if sliced else np.zeros(len(ids), np.int64)
+                words = tokens.dictionary_encode()
+                word = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                # sorted by term, document and position; the first of each pair tells its place
+                key, at, tf = np.unique(word * len(ids) + place[row], return_index=True, return_counts=True)
+                word, doc = np.divmod(key, len(ids))
+                new = np.append(True, (np.diff(word) != 0) | (np.diff(cut[doc]) != 0))[: len(key)]
+                starts = np.flatnonzero(new)
+                if not len(starts):
+                    continue
+                ends = np.append(starts, len(key)).astype(np.int32)
+                pos = at - np.searchsorted(row, row[at])
+                columns = [
+                    words.dictionary.take(pa.array(word[starts])), pa.array(cut[doc[starts]]),
+                    pa.array(np.diff(ends).astype(np.int64)), pa.array(np.add.reduceat(tf, starts)),
+                    pa.array(np.maximum.reduceat(tf, starts)), ids.take(pa.array(doc[starts])), pa.array(pos[starts]),
+                ]
+                if lists:
+                    columns += [
+                        pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(doc))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(tf)),
+                    ]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+
+    return docs.select("doc_id", "tokens").mapInArrow(run, T.StructType(fields))
+
+
+def unpacked(packed: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, tf) of packed postings, with the columns ``keep``."""
+    each = packed.select(*keep, F.explode(F.arrays_zip("doc_ids", "tfs")).alias("_p"))
+    return each.select(*keep, F.col("_p.doc_ids").alias("doc_id"), F.col("_p.tfs").alias("tf"))
+
+
+def packed_stats(packed: DataFrame) -> DataFrame:
+    """``term_stats`` of packed postings, with the first document of each term and the place in it."""
+    return packed.groupBy("term").agg(
+        F.sum("doc_freq").alias("doc_freq"), F.sum("collection_freq").alias("collection_freq"),
+        F.max(F.least("max_tf", F.lit(MAX_TF))).cast("int").alias("max_tf"),
+        F.min_by("first_pos", "first_doc").alias("first_pos"), F.min("first_doc").alias("first_doc"),
+    )
+
+
+def numbered_terms(docs: DataFrame) -> DataFrame:
+    """All terms with their statistics and numbers; only counts by batch are shuffled."""
+    if ids_repeat(docs):
+        post = postings(docs, positions=True)
+        return with_term_ids(term_stats(post), post)
+    stats = packed_stats(packed_postings(docs, lists=False))
+    return number_by(stats, "first_doc", "first_pos", "term_id").drop("first_doc", "first_pos")
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     """Document and collection frequency and greatest tf of every term."""
     return post.groupBy("term").agg(

@@ -5,6 +5,8 @@ from lexicrate import catalog
 from lexicrate.config import DuplicateCap, Length, Lowercase, Snowball, Stopwords, TokenizerConfig, Whitespace
 from lexicrate.functions import analysis
 from lexicrate.functions.analysis import analyze
+from lexicrate.operators import tables
+from lexicrate.operators.search import document_vector, document_vectors
 
 
 def plan(df):
@@ -39,3 +41,27 @@ def test_stems_see_counted_words(spark, tmp_path):
     steps = plan(out)
     assert steps.index("MapInArrow") < steps.index("Generate explode")  # read from the top: Python comes after the counts
     assert [tuple(r) for r in out.collect()] == [("cat", 150)]
+
+
+def test_packed_postings(spark, monkeypatch):
+    """Numbers and vectors are those of the plain postings, whatever the batches; ids that repeat too."""
+    monkeypatch.setattr(tables, "SLICE", 2)
+    rows = [(5, "b a b"), (1, "c b"), (9, None), (2, "a a d a"), (4, " "), (3, "d c b b")]
+    more = [(5, "z b a"), (1, "c b"), (None, "a q")]
+    for texts in (rows, rows + more, []):
+        df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        docs = tables.document_tokens(df, TokenizerConfig(filters=())).select("doc_id", "tokens", "doc_len")
+        post = tables.postings(docs, positions=True)
+        ids = tables.with_term_ids(tables.term_stats(post), post)
+        found = tables.numbered_terms(docs)
+        assert sorted(map(tuple, found.select(*ids.columns).collect())) == sorted(map(tuple, ids.collect()))
+        key = lambda r: repr(tuple(r))
+        assert sorted(document_vectors(docs).collect(), key=key) == sorted(document_vector(post, ids).collect(), key=key)
+
+
+def test_vectors_do_not_shuffle_postings(spark, tmp_path):
+    """Before, each posting was a row of its own in every shuffle, and was counted behind one."""
+    spark.createDataFrame([(i, "cats dogs") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    steps = plan(catalog.QUERIES["sparse_doc_vector"](spark, str(tmp_path)))
+    assert "arrays_zip" in steps.split("Exchange")[0]  # unpacked behind the last shuffle
+    assert "posexplode" not in steps

@@ -31,7 +31,7 @@ from .config import (
     Wand,
     Whitespace,
 )
-from .functions.analysis import analyze, stemmed_terms
+from .functions.analysis import analyze, ngram_counts, stemmed_terms
 from .operators import expansion, fusion
 from .operators.metrics import evaluate, percentile_column
 from .operators.search import (
@@ -183,7 +183,11 @@ def _budget(spark, sf_dir):
 
 def _vocabulary(name: str, config: TokenizerConfig) -> None:
     def run(spark, sf_dir):
-        docs = analyze(table(spark, sf_dir).select("doc_id", "text"), replace(config, stemmer=NoOp()))
+        texts = table(spark, sf_dir).select("doc_id", "text")
+        counted = ngram_counts(texts, config)
+        if counted is not None:
+            return counted
+        docs = analyze(texts, replace(config, stemmer=NoOp()))
         words = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
         return stemmed_terms(words, config.stemmer)  # stemming comes last, so counting may come before it
 

@@ -228,6 +228,125 @@ def stemmed_terms(counts: DataFrame, stemmer: Setting) -> DataFrame:
     return counts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+#: Texts of which each code point is a character as readers see it: nothing that combines, no CR LF.
+PLAIN = (
+    r"[\x{0}-\x{2FF}\x{370}-\x{482}\x{48A}-\x{58F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}"
+    r"\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}]"
+)
+NOT_PLAIN = "[^" + PLAIN[1:]
+
+
+def _counted(codes, row, n: int, kinds: int):
+    """(code of each place, times) of all runs of n codes within a row."""
+    import numpy as np
+
+    many = len(codes) - n + 1
+    if many <= 0:
+        return [codes[:0]] * n, codes[:0]
+    within = row[:many] == row[n - 1 :]
+    key = codes[:many].copy()
+    size = kinds
+    back = []
+    for i in range(1, n):
+        if size > 2**62 // kinds:  # number the runs so far anew
+            seen, key = np.unique(key, return_inverse=True)
+            back.append((i, seen))
+            size = len(seen)
+        key, size = key * kinds + codes[i : many + i], size * kinds
+    key = key[within]
+    if size <= 1 << 22:
+        times = np.bincount(key, minlength=1)
+        key = np.flatnonzero(times)
+        times = times[key]
+    else:
+        key, times = np.unique(key, return_counts=True)
+    parts = []
+    for i in range(n - 1, 0, -1):
+        key, last = np.divmod(key, kinds)
+        parts.append(last)
+        if back and back[-1][0] == i:
+            key = back.pop()[1][key]
+    return [key, *parts[::-1]], times
+
+
+def ngram_counts(df: DataFrame, config: TokenizerConfig, text: str = "text") -> DataFrame | None:
+    """(term, n): the n-grams of all texts, counted chunk by chunk before they are written out.
+
+    None for settings whose filters ask for whole n-grams: anything but length
+    bounds, and the lower-casing of words, which no neighbour changes.
+    """
+    kind = config.tokenizer
+    if not isinstance(kind, Ngram) or not isinstance(config.stemmer, NoOp):
+        return None
+    bounds = [Length(config.min_token_len, config.max_token_len)]
+    bounds += [s for s in config.filters if isinstance(s, Length)]
+    others = [s for s in config.filters if not isinstance(s, Length)]
+    worded = kind.mode == "Word"
+    if any(not worded or not isinstance(s, Lowercase) for s in others) or (others and config.filters[0] not in others):
+        return None
+    whole = F.coalesce(F.col(text), F.lit(""))
+    if worded:
+        words = F.transform(_words(whole), F.lower) if others else _words(whole)
+        found = df.select(F.lit("").alias("plain"), words.alias("parts"))
+    else:
+        seldom = F.rlike(whole, F.lit(r"[\x{300}-\x{10FFFF}]")) & F.rlike(whole, F.lit(NOT_PLAIN))
+        plain = ~(F.contains(whole, F.lit("\r\n")) | seldom)
+        found = df.select(
+            F.when(plain, whole).otherwise("").alias("plain"),
+            F.when(~plain, _parts(whole, kind)).otherwise(F.array().cast("array<string>")).alias("parts"),
+        )
+    glue, sizes = _glue(kind), range(max(kind.min_n, 1), kind.max_n + 1)
+
+    def letters(batch) -> Iterator:
+        """(names, code of each character, its row) of plain texts."""
+        import numpy as np
+        import pyarrow as pa
+
+        texts, lo = batch.column(0).to_pylist(), 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 2 * CHUNK_TOKENS):
+                size += len(texts[hi])
+                hi += 1
+            points = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le"), np.uint32)
+            there = np.zeros(0x110000, bool)
+            there[points] = True
+            used = np.flatnonzero(there)
+            code = np.zeros(0x110000, np.int64)
+            code[used] = np.arange(len(used))
+            yield pa.array([chr(c) for c in used], pa.string()), code[points], np.repeat(np.arange(hi - lo), [len(t) for t in texts[lo:hi]])
+            lo = hi
+
+    def chunks(batch) -> Iterator:
+        import numpy as np
+
+        if not worded:
+            yield from letters(batch)
+        for _, tokens, row in token_chunks(batch, 1):
+            words = tokens.dictionary_encode()
+            yield words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), row
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for names, codes, row in chunks(batch):
+                for n in sizes:
+                    parts, times = _counted(codes, row, n, max(len(names), 1))
+                    if not len(times):
+                        continue
+                    terms = pc.binary_join_element_wise(*[names.take(pa.array(p)) for p in parts], glue)
+                    out = pa.RecordBatch.from_arrays([terms, pa.array(times)], ["term", "n"])
+                    length = pc.utf8_length(terms)
+                    for b in bounds:
+                        fits = pc.and_(pc.greater_equal(length, b.min_len), pc.less_equal(length, b.max_len))
+                        out, length = out.filter(fits), length.filter(fits)
+                    yield out
+
+    return found.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def analyze(
     df: DataFrame, config: TokenizerConfig = TokenizerConfig(), text: str = "text", out: str = "tokens"
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 
 from lexicrate import catalog
-from lexicrate.config import DuplicateCap, Length, Lowercase, Snowball, Stopwords, TokenizerConfig, Whitespace
+from lexicrate.config import DuplicateCap, Length, Lowercase, Ngram, Snowball, Stopwords, TokenizerConfig, Whitespace
 from lexicrate.functions import analysis
 from lexicrate.functions.analysis import analyze
 from lexicrate.operators import tables
@@ -65,3 +65,31 @@ def test_vectors_do_not_shuffle_postings(spark, tmp_path):
     steps = plan(catalog.QUERIES["sparse_doc_vector"](spark, str(tmp_path)))
     assert "arrays_zip" in steps.split("Exchange")[0]  # unpacked behind the last shuffle
     assert "posexplode" not in steps
+
+
+def test_ngrams_are_counted_as_they_are_cut(spark):
+    """All kinds of texts against the n-grams as written out; long runs, which don't fit one number, too."""
+    texts = ["Ab  ab aB ab.", "naïve café\r\nx", "éé \U0001F469‍\U0001F680\U0001F1E9\U0001F1EA", "Привет — ‘ok’", "ΟΣ ΟΣ Ο", "", None, "a", "\r\n", "x" * 140 + " y z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [((), "Character", 2, 3), ((), "Character", 1, 1), ((Length(2, 2),), "Character", 1, 3),
+             ((Lowercase(),), "Word", 2, 3), ((), "Word", 1, 2), ((Lowercase(), Length(3, 9)), "Word", 0, 2)]
+    for filters, mode, low, high in kinds:
+        config = TokenizerConfig(Ngram(low, high, mode), filters)
+        found = sorted(map(tuple, analysis.ngram_counts(df, config).collect()))
+        tokens = analyze(df, config).selectExpr("explode(tokens) as term").groupBy("term").count()
+        assert found == sorted(map(tuple, tokens.collect()))
+    assert analysis.ngram_counts(df, TokenizerConfig(Ngram(2, 3, "Character"), (Lowercase(),))) is None
+    assert analysis.ngram_counts(df, TokenizerConfig(Ngram(2, 3, "Word"), (Stopwords("en"),))) is None
+
+
+def test_runs_longer_than_a_number_holds():
+    import numpy as np
+
+    codes, row = np.arange(1000) % 7, np.repeat([0, 1], 500)
+    parts, times = analysis._counted(codes * (1 << 17), row, 5, 1 << 20)
+    found = {tuple(int(p[i]) >> 17 for p in parts): int(t) for i, t in enumerate(times)}
+    want = {}
+    for i in range(996):
+        if row[i] == row[i + 4]:
+            want[tuple(codes[i : i + 5])] = want.get(tuple(codes[i : i + 5]), 0) + 1
+    assert found == want

@@ -48,8 +48,8 @@ from .operators.search import (
     weighted,
 )
 from .operators.tables import (
-    blocks,
     corpus_stats,
+    document_blocks,
     document_tokens,
     numbered_terms,
     occurrences,
@@ -255,7 +255,7 @@ def _corpus(spark, sf_dir):
 
 @query("idx_blocks")
 def _blocks(spark, sf_dir):
-    return blocks(postings(tokens_of(spark, sf_dir)))
+    return document_blocks(token_table(spark, sf_dir))
 
 
 # -- changes -----------------------------------------------------------------------------

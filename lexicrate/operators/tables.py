@@ -217,6 +217,14 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     )
 
 
+def _slice_starts(sizes: DataFrame) -> DataFrame:
+    """(term, _slice, _start): the postings of a term before each slice, from rows (term, _slice, _n)."""
+    before = Window.partitionBy("term").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.groupBy("term", "_slice").agg(F.sum("_n").alias("_n")).select(
+        "term", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+
+
 def ranked_postings(post: DataFrame) -> DataFrame:
     """Postings with their place (from 0) in their term's list, by doc_id.
 
@@ -224,11 +232,7 @@ def ranked_postings(post: DataFrame) -> DataFrame:
     slices' sizes tell where each starts.
     """
     sliced = post.withColumn("_slice", F.floor(F.col("doc_id") / SLICE))
-    sizes = sliced.groupBy("term", "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("term").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "term", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
+    starts = _slice_starts(sliced.select("term", "_slice", F.lit(1).alias("_n")))
     within = Window.partitionBy("term", "_slice").orderBy("doc_id")
     return (
         sliced.withColumn("_at", F.row_number().over(within) - 1)
@@ -238,13 +242,33 @@ def ranked_postings(post: DataFrame) -> DataFrame:
     )
 
 
+def _blocks_of(placed: DataFrame, size: int) -> DataFrame:
+    return placed.groupBy("term", F.floor(F.col("place") / size).alias("block_no")).agg(
+        F.min("doc_id").alias("start_doc_id"), F.max("doc_id").alias("end_doc_id"),
+        F.max("tf").alias("max_tf"), F.count("*").alias("n"),
+    )
+
+
 def blocks(post: DataFrame, size: int = BLOCK) -> DataFrame:
     """Range of doc_ids and greatest tf of every ``size`` postings of a term."""
-    return (
-        ranked_postings(post)
-        .groupBy("term", F.floor(F.col("place") / size).alias("block_no"))
-        .agg(
-            F.min("doc_id").alias("start_doc_id"), F.max("doc_id").alias("end_doc_id"),
-            F.max("tf").alias("max_tf"), F.count("*").alias("n"),
-        )
+    return _blocks_of(ranked_postings(post), size)
+
+
+def document_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``blocks`` of all documents: postings are packed by term and slice for their one shuffle."""
+    if ids_repeat(docs) or not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return blocks(postings(docs), size)
+    parts = packed_postings(docs, lists=False).select("term", F.col("slice").alias("_slice"), F.col("doc_freq").alias("_n"))
+    lists = packed_postings(docs).select("term", F.col("slice").alias("_slice"), F.arrays_zip("doc_ids", "tfs").alias("_p"))
+    # a slice holds SLICE postings of a term at most
+    whole = lists.groupBy("term", "_slice").agg(F.array_sort(F.flatten(F.collect_list("_p"))).alias("_p"))
+    placed = whole.join(_slice_starts(parts), ["term", "_slice"]).select(
+        "term", "_start", F.posexplode("_p").alias("_at", "_q")
+    )
+    return _blocks_of(
+        placed.select(
+            "term", (F.col("_start") + F.col("_at")).alias("place"),
+            F.col("_q.doc_ids").alias("doc_id"), F.col("_q.tfs").alias("tf"),
+        ),
+        size,
     )

@@ -93,3 +93,18 @@ def test_runs_longer_than_a_number_holds():
         if row[i] == row[i + 4]:
             want[tuple(codes[i : i + 5])] = want.get(tuple(codes[i : i + 5]), 0) + 1
     assert found == want
+
+
+def test_blocks_of_packed_postings(spark, monkeypatch):
+    """As those of the plain postings, over several slices and batches, and where ids repeat."""
+    monkeypatch.setattr(tables, "SLICE", 16)
+    texts = [(i * 7 % 200, "a " * (i % 5) + ("b" if i % 3 else "") + f" c{i % 40}") for i in range(200)]
+    for rows in (texts, [*texts, (3, "a b"), (None, "a")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        docs = tables.document_tokens(df, TokenizerConfig(filters=())).select("doc_id", "tokens", "doc_len")
+        want = tables.blocks(tables.postings(docs), 8)
+        found = tables.document_blocks(docs, 8)
+        key = lambda r: repr(tuple(r))
+        assert sorted(found.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+    plain = tables.document_blocks(tables.document_tokens(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert plan(plain).count("collect_list") and "posexplode_outer" not in plan(plain)  # no posting is a row in a shuffle

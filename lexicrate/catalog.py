@@ -39,6 +39,8 @@ from .operators.search import (
     PhraseQuery,
     bag_of_words,
     document_vectors,
+    narrowed,
+    packed_hits,
     query_vector,
     scored,
     search,
@@ -50,6 +52,7 @@ from .operators.search import (
 from .operators.tables import (
     corpus_stats,
     document_blocks,
+    document_stats,
     document_tokens,
     numbered_terms,
     occurrences,
@@ -81,6 +84,11 @@ def tokens_of(spark: SparkSession, sf_dir: str, config: TokenizerConfig = Tokeni
     return token_table(spark, sf_dir, config).persist()
 
 
+def tokens_for(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
+    """What bag-of-words queries need of the documents."""
+    return narrowed(token_table(spark, sf_dir), queries)
+
+
 def query(name: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -94,8 +102,8 @@ def query(name: str) -> Callable[[Query], Query]:
 
 def _score_query(scoring: Setting) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = tokens_of(spark, sf_dir)
-        found = search(docs, weighted(spark, PROBE), scoring, TOP)
+        terms = weighted(spark, PROBE)
+        found = search(tokens_for(spark, sf_dir, terms), terms, scoring, TOP)
         return found.select("rank", "doc_id", "score")
 
     return run
@@ -107,9 +115,11 @@ for _scoring in ALL_SCORERS:
 
 @query("search_batch_benchmark")
 def _batch(spark, sf_dir):
-    docs = tokens_of(spark, sf_dir)
+    docs = token_table(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search(docs, bag_of_words(items), Okapi(), 10).select("query_id", "rank", "doc_id", "score")
+    terms = bag_of_words(items)
+    found = search(docs, terms, Okapi(), 10, **packed_hits(docs, terms))
+    return found.select("query_id", "rank", "doc_id", "score")
 
 
 def _boolean(name: str, q: BooleanQuery) -> None:
@@ -139,16 +149,19 @@ _phrase("search_phrase_repeat", PhraseQuery(["que", "que"], 0))
 @query("search_weighted")
 def _weighted(spark, sf_dir):
     terms = weighted(spark, [("that", 2.0), ("that", 0.5), ("was", -1.0), ("for", 1.25), ("The", 3.0)])
-    return search(tokens_of(spark, sf_dir), terms, Okapi(), TOP).select("rank", "doc_id", "score")
+    return search(tokens_for(spark, sf_dir, terms), terms, Okapi(), TOP).select("rank", "doc_id", "score")
 
 
 # -- strategies ----------------------------------------------------------------------
 
 
 def _strategy(name: str, strategy: Setting, scoring: Setting = Okapi()) -> None:
-    QUERIES[name] = lambda spark, sf_dir: retrieve(
-        tokens_of(spark, sf_dir), weighted(spark, PROBE), strategy, scoring, TOP
-    ).select("rank", "doc_id", "score")
+    def run(spark, sf_dir):
+        terms = weighted(spark, PROBE)
+        found = retrieve(tokens_for(spark, sf_dir, terms), terms, strategy, scoring, TOP)
+        return found.select("rank", "doc_id", "score")
+
+    QUERIES[name] = run
 
 
 _strategy("strat_daat_topk", ExhaustiveDAAT())
@@ -161,20 +174,21 @@ _strategy("strat_maxscore_tfidf", MaxScore(), TfIdf())
 
 @query("strat_pruned_topk")
 def _pruned(spark, sf_dir):
-    return pruned(tokens_of(spark, sf_dir), weighted(spark, PROBE), Okapi(), TOP).select(
-        "rank", "doc_id", "score"
-    )
+    terms = weighted(spark, PROBE)
+    return pruned(tokens_for(spark, sf_dir, terms), terms, Okapi(), TOP).select("rank", "doc_id", "score")
 
 
 @query("strat_wand_walk")
 def _walk(spark, sf_dir):
-    found = budgeted(tokens_of(spark, sf_dir), weighted(spark, PROBE), Wand(), Okapi(), TOP)
+    terms = weighted(spark, PROBE)
+    found = budgeted(tokens_for(spark, sf_dir, terms), terms, Wand(), Okapi(), TOP)
     return found.select("rank", "doc_id", "score")
 
 
 @query("strat_bmw_budget")
 def _budget(spark, sf_dir):
-    found = budgeted(tokens_of(spark, sf_dir), weighted(spark, PROBE), BlockMaxWand(200), Okapi(), 10)
+    terms = weighted(spark, PROBE)
+    found = budgeted(tokens_for(spark, sf_dir, terms), terms, BlockMaxWand(200), Okapi(), 10)
     return found.select("rank", "doc_id", "score", "scored_docs")
 
 
@@ -308,20 +322,19 @@ def _replay(spark, sf_dir):
 FEEDBACK = 10
 
 
-def _feedback(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The probe query, and the terms of its best documents."""
-    docs = tokens_of(spark, sf_dir)
+def _feedback(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The probe query, and the terms of its best documents, which alone are read in full."""
     terms = weighted(spark, PROBE)
-    best = search(docs, terms, Okapi(), FEEDBACK).select("query_id", "doc_id")
-    found = docs.join(F.broadcast(best), "doc_id")  # FEEDBACK rows
+    best = search(tokens_for(spark, sf_dir, terms), terms, Okapi(), FEEDBACK).select("query_id", "doc_id")
+    found = document_tokens(table(spark, sf_dir).select("doc_id", "text").join(F.broadcast(best), "doc_id"))  # FEEDBACK rows
     each = found.select("query_id", "doc_id", F.explode("tokens").alias("term"))
     counts = each.groupBy("query_id", "doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
-    return docs, terms, counts
+    return terms, counts
 
 
 def _expansion(name: str, expand: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
     def run(spark, sf_dir):
-        _, terms, counts = _feedback(spark, sf_dir)
+        terms, counts = _feedback(spark, sf_dir)
         out = expand(terms, counts).groupBy("term").agg(F.sum("weight").alias("weight"))
         return out.select("term", F.round("weight", 6).alias("weight"))
 
@@ -342,8 +355,9 @@ def _synonym(spark, sf_dir):
 
 @query("expand_prf")
 def _prf(spark, sf_dir):
-    docs, terms, counts = _feedback(spark, sf_dir)
-    stats = term_stats(postings(docs)).select("term", "doc_freq")
+    terms, counts = _feedback(spark, sf_dir)
+    docs = token_table(spark, sf_dir)
+    stats = document_stats(docs).select("term", "doc_freq")
     out = expansion.pseudo_relevance(terms, counts, stats, docs.count(), ["of", "the"])
     return out.select("term", F.round("weight", 6).alias("weight"))
 
@@ -352,9 +366,10 @@ def _prf(spark, sf_dir):
 
 
 def _two_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = tokens_of(spark, sf_dir)
+    terms = weighted(spark, PROBE)
+    docs = tokens_for(spark, sf_dir, terms)
     return tuple(
-        search(docs, weighted(spark, PROBE), s, TOP).select("query_id", "doc_id", "score", F.col("rank").alias("pos"))
+        search(docs, terms, s, TOP).select("query_id", "doc_id", "score", F.col("rank").alias("pos"))
         for s in (Okapi(), TfIdf())
     )
 
@@ -398,7 +413,7 @@ def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query("metrics_by_query")
 def _metrics(spark, sf_dir):
     ids, terms, qrels = _judged(spark, sf_dir)
-    found = search(tokens_of(spark, sf_dir), terms, Okapi(), 20)
+    found = search(tokens_for(spark, sf_dir, terms), terms, Okapi(), 20)
     out = evaluate(ids, found, qrels, 10)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("ndcg", "ap", "recall", "precision", "mrr")])
 
@@ -406,14 +421,14 @@ def _metrics(spark, sf_dir):
 @query("variant_comparison")
 def _variants(spark, sf_dir):
     ids, terms, qrels = _judged(spark, sf_dir)
-    out = variant_comparison(tokens_of(spark, sf_dir), terms, qrels)
+    out = variant_comparison(tokens_for(spark, sf_dir, terms), terms, qrels)
     return out.select("variant", *[F.round(c, 6).alias(c) for c in ("ndcg", "ap", "recall", "precision", "mrr")])
 
 
 @query("recall_degradation")
 def _degradation(spark, sf_dir):
     terms = weighted(spark, PROBE)
-    return recall_degradation(tokens_of(spark, sf_dir), terms, ks=(1, 5, 10), budget=100)
+    return recall_degradation(tokens_for(spark, sf_dir, terms), terms, ks=(1, 5, 10), budget=100)
 
 
 @query("latency_percentiles")
@@ -454,5 +469,6 @@ def _export(spark, sf_dir):
 
 @query("scored_documents")
 def _all_scores(spark, sf_dir):
-    out = scored(tokens_of(spark, sf_dir), weighted(spark, PROBE), Okapi())
+    terms = weighted(spark, PROBE)
+    out = scored(tokens_for(spark, sf_dir, terms), terms, Okapi())
     return out.select("doc_id", F.round("score", 6).alias("score"))

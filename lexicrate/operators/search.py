@@ -21,6 +21,7 @@ from .tables import (
     numbered_terms,
     occurrences,
     packed_postings,
+    packed_stats,
     postings,
     term_stats,
     unpacked,
@@ -29,6 +30,8 @@ from .tables import (
 DIGITS = 6
 #: Up to so many query terms are broadcast; beyond that the join shuffles.
 BROADCAST_TERMS = 200_000
+#: Up to so many query terms are written into a filter of the tokens.
+LITERAL_TERMS = 1000
 
 
 def effective_strategy(strategy: Setting, scoring: Setting) -> Setting:
@@ -113,6 +116,31 @@ def query_postings(docs: DataFrame, wanted: DataFrame, post: DataFrame | None) -
     return post.join(wanted, "term", "left_semi").select("term", "doc_id", "doc_len", "tf")
 
 
+def narrowed(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``docs`` with those tokens only that the queries name, kept for several uses.
+
+    doc_len stays that of all tokens, so bags of words score the same; the tokens are
+    worked out once, and what is kept holds a few terms.  Queries of very many terms
+    leave the tokens as they are.
+    """
+    names = [r.term for r in queries.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    if len(names) > LITERAL_TERMS:
+        return docs.persist()
+    return docs.withColumn("tokens", F.filter("tokens", lambda w: w.isin(names))).persist()
+
+
+def packed_hits(docs: DataFrame, queries: DataFrame) -> dict[str, DataFrame]:
+    """``post`` and ``stats`` of the queries' terms for ``scored``, where queries have many terms.
+
+    Postings are counted by batches of documents; nothing is shuffled for them.
+    """
+    if ids_repeat(docs):
+        return {}
+    terms = _small(queries.select("term").distinct())
+    found = lambda **kw: packed_postings(docs, **kw).join(terms, "term", "left_semi")
+    return {"post": unpacked(found(lengths=True), "term"), "stats": packed_stats(found(lists=False))}
+
+
 def scored(
     docs: DataFrame, queries: DataFrame, scoring: Setting = Okapi(),
     candidates: DataFrame | None = None, *, post: DataFrame | None = None,

@@ -103,11 +103,12 @@ def ids_repeat(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
 
 
-def packed_postings(docs: DataFrame, lists: bool = True) -> DataFrame:
+def packed_postings(docs: DataFrame, lists: bool = True, lengths: bool = False) -> DataFrame:
     """Postings packed by term for a batch of documents at a time, before anything is shuffled.
 
     (term, slice, doc_freq, collection_freq, max_tf, first_doc, first_pos), and with
-    ``lists`` also doc_ids and tfs, in the order of doc_id.  A slice is SLICE doc_ids
+    ``lists`` also doc_ids and tfs, in the order of doc_id, and with ``lengths`` their
+    doc_lens.  A slice is SLICE doc_ids
     wide where they are numbers.  Each doc_id has one row in ``docs``.
     """
     kind = docs.schema["doc_id"].dataType
@@ -119,6 +120,7 @@ def packed_postings(docs: DataFrame, lists: bool = True) -> DataFrame:
     ]
     if lists:
         fields += [T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("tfs", T.ArrayType(T.LongType()))]
+        fields += [T.StructField("doc_lens", T.ArrayType(T.LongType()))] if lengths else []
     sliced = isinstance(kind, T.IntegralType)
 
     def run(batches) -> Iterator:
@@ -155,15 +157,20 @@ def packed_postings(docs: DataFrame, lists: bool = True) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(doc))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tf)),
                     ]
+                    if lengths:
+                        length = rows.column(2).take(pa.array(order[doc]))
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends), length))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return docs.select("doc_id", "tokens").mapInArrow(run, T.StructType(fields))
+    return docs.select("doc_id", "tokens", *["doc_len"] * (lists and lengths)).mapInArrow(run, T.StructType(fields))
 
 
 def unpacked(packed: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, tf) of packed postings, with the columns ``keep``."""
-    each = packed.select(*keep, F.explode(F.arrays_zip("doc_ids", "tfs")).alias("_p"))
-    return each.select(*keep, F.col("_p.doc_ids").alias("doc_id"), F.col("_p.tfs").alias("tf"))
+    """(doc_id, tf) of packed postings, doc_len if they have it, with the columns ``keep`` in front."""
+    names = {"doc_ids": "doc_id", "tfs": "tf", "doc_lens": "doc_len"}
+    names = {k: v for k, v in names.items() if k in packed.columns}
+    each = packed.select(*keep, F.explode(F.arrays_zip(*names)).alias("_p"))
+    return each.select(*keep, *[F.col(f"_p.{k}").alias(v) for k, v in names.items()])
 
 
 def packed_stats(packed: DataFrame) -> DataFrame:
@@ -175,6 +182,13 @@ def packed_stats(packed: DataFrame) -> DataFrame:
     )
 
 
+def document_stats(docs: DataFrame) -> DataFrame:
+    """``term_stats`` of all documents; only counts by batch are shuffled."""
+    if ids_repeat(docs):
+        return term_stats(postings(docs))
+    return packed_stats(packed_postings(docs, lists=False)).drop("first_doc", "first_pos")
+
+
 def numbered_terms(docs: DataFrame) -> DataFrame:
     """All terms with their statistics and numbers; only counts by batch are shuffled."""
     if ids_repeat(docs):

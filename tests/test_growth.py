@@ -6,7 +6,7 @@ from lexicrate.config import DuplicateCap, Length, Lowercase, Ngram, Snowball, S
 from lexicrate.functions import analysis
 from lexicrate.functions.analysis import analyze
 from lexicrate.operators import tables
-from lexicrate.operators.search import document_vector, document_vectors
+from lexicrate.operators.search import document_vector, document_vectors, narrowed, packed_hits, search
 
 
 def plan(df):
@@ -108,3 +108,21 @@ def test_blocks_of_packed_postings(spark, monkeypatch):
         assert sorted(found.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
     plain = tables.document_blocks(tables.document_tokens(spark.createDataFrame(texts, "doc_id long, text string")))
     assert plan(plain).count("collect_list") and "posexplode_outer" not in plan(plain)  # no posting is a row in a shuffle
+
+
+def test_searches_keep_what_queries_name(spark):
+    """Before, the tokens of the whole corpus were kept, and looked through again for each use."""
+    texts = [(i, "a b c " * (i % 4) + "d " * (i % 3) + f"e{i}") for i in range(40)]
+    docs = tables.document_tokens(
+        spark.createDataFrame(texts, "doc_id long, text string"), TokenizerConfig(filters=())
+    ).select("doc_id", "tokens", "doc_len")
+    terms = spark.createDataFrame([(1, "a", 1.0), (1, "d", 2.0), (2, "e7", 1.0), (2, "zz", 1.0)], "query_id long, term string, weight double")
+    want = sorted(map(tuple, search(docs, terms).collect()))
+    few = narrowed(docs, terms)
+    assert {t for r in few.collect() for t in r.tokens} == {"a", "d", "e7"}
+    assert [r.doc_len for r in few.orderBy("doc_id").collect()] == [r.doc_len for r in docs.orderBy("doc_id").collect()]
+    assert sorted(map(tuple, search(few, terms).collect())) == want
+    kept = packed_hits(docs, terms)
+    assert not [s for s in plan(kept["post"]).split("\n") if "Exchange" in s and "doc_id" in s]  # no posting is shuffled
+    assert sorted(map(tuple, search(docs, terms, **kept).collect())) == want
+    assert packed_hits(docs.unionByName(docs), terms) == {}

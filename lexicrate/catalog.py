@@ -327,7 +327,8 @@ def _feedback(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     terms = weighted(spark, PROBE)
     best = search(tokens_for(spark, sf_dir, terms), terms, Okapi(), FEEDBACK).select("query_id", "doc_id")
     found = document_tokens(table(spark, sf_dir).select("doc_id", "text").join(F.broadcast(best), "doc_id"))  # FEEDBACK rows
-    each = found.select("query_id", "doc_id", F.explode("tokens").alias("term"))
+    # not explode: its filter on the tokens would go below the join, and analyze every document
+    each = found.select("query_id", "doc_id", F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
     counts = each.groupBy("query_id", "doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
     return terms, counts
 

@@ -126,3 +126,17 @@ def test_searches_keep_what_queries_name(spark):
     assert not [s for s in plan(kept["post"]).split("\n") if "Exchange" in s and "doc_id" in s]  # no posting is shuffled
     assert sorted(map(tuple, search(docs, terms, **kept).collect())) == want
     assert packed_hits(docs.unionByName(docs), terms) == {}
+
+
+def test_feedback_analyzes_its_documents_only(spark, tmp_path):
+    """Before, a filter on the tokens went below the join, and every document was analyzed once more."""
+    texts = [(i, "that was for " * (i + 1) + f"w{i} x") for i in range(15)] + [(99, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("expand_rm3", "expand_prf"):
+        steps = plan(catalog.QUERIES[name](spark, str(tmp_path)))
+        assert not [s for s in steps.split("\n") if "Filter (" in s and "split(" in s]
+    found = {r.term: r.weight for r in catalog.QUERIES["expand_rm3"](spark, str(tmp_path)).collect()}
+    n = sum(i + 1 for i in range(5, 15))  # the best ten
+    total = 4 + 0.5 * (3 * n + 10 + 6)
+    assert found["that"] == round((1 + 0.5 * n) / total, 6) and found["x"] == round(5 / total, 6)
+    assert len(found) == 10

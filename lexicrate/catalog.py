@@ -38,6 +38,7 @@ from .operators.search import (
     BooleanQuery,
     PhraseQuery,
     bag_of_words,
+    document_frequencies,
     document_vectors,
     narrowed,
     packed_hits,
@@ -52,7 +53,6 @@ from .operators.search import (
 from .operators.tables import (
     corpus_stats,
     document_blocks,
-    document_stats,
     document_tokens,
     numbered_terms,
     occurrences,
@@ -327,6 +327,7 @@ def _feedback(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     terms = weighted(spark, PROBE)
     best = search(tokens_for(spark, sf_dir, terms), terms, Okapi(), FEEDBACK).select("query_id", "doc_id")
     found = document_tokens(table(spark, sf_dir).select("doc_id", "text").join(F.broadcast(best), "doc_id"))  # FEEDBACK rows
+    found = found.select("query_id", "doc_id", "tokens").persist()  # FEEDBACK rows, used several times
     # not explode: its filter on the tokens would go below the join, and analyze every document
     each = found.select("query_id", "doc_id", F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
     counts = each.groupBy("query_id", "doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
@@ -358,7 +359,7 @@ def _synonym(spark, sf_dir):
 def _prf(spark, sf_dir):
     terms, counts = _feedback(spark, sf_dir)
     docs = token_table(spark, sf_dir)
-    stats = document_stats(docs).select("term", "doc_freq")
+    stats = document_frequencies(docs, counts)
     out = expansion.pseudo_relevance(terms, counts, stats, docs.count(), ["of", "the"])
     return out.select("term", F.round("weight", 6).alias("weight"))
 

@@ -17,6 +17,7 @@ from ..functions.analysis import analyze
 from ..functions.scoring import term_score
 from .tables import (
     corpus_stats,
+    document_stats,
     ids_repeat,
     numbered_terms,
     occurrences,
@@ -141,6 +142,11 @@ def packed_hits(docs: DataFrame, queries: DataFrame) -> dict[str, DataFrame]:
     return {"post": unpacked(found(lengths=True), "term"), "stats": packed_stats(found(lists=False))}
 
 
+def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, doc_freq) in all documents of the terms in ``terms``; no other term is shuffled."""
+    return document_stats(docs, _small(terms.select("term").distinct())).select("term", "doc_freq")
+
+
 def scored(
     docs: DataFrame, queries: DataFrame, scoring: Setting = Okapi(),
     candidates: DataFrame | None = None, *, post: DataFrame | None = None,

@@ -182,11 +182,14 @@ def packed_stats(packed: DataFrame) -> DataFrame:
     )
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """``term_stats`` of all documents; only counts by batch are shuffled."""
+def document_stats(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``term_stats`` of all documents, or of the given terms in them; only counts by batch are shuffled."""
     if ids_repeat(docs):
-        return term_stats(postings(docs))
-    return packed_stats(packed_postings(docs, lists=False)).drop("first_doc", "first_pos")
+        return term_stats(postings(docs, terms))
+    packed = packed_postings(docs, lists=False)
+    if terms is not None:
+        packed = packed.join(terms, "term", "left_semi")
+    return packed_stats(packed).drop("first_doc", "first_pos")
 
 
 def numbered_terms(docs: DataFrame) -> DataFrame:

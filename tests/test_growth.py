@@ -6,7 +6,7 @@ from lexicrate.config import DuplicateCap, Length, Lowercase, Ngram, Snowball, S
 from lexicrate.functions import analysis
 from lexicrate.functions.analysis import analyze
 from lexicrate.operators import tables
-from lexicrate.operators.search import document_vector, document_vectors, narrowed, packed_hits, search
+from lexicrate.operators.search import document_frequencies, document_vector, document_vectors, narrowed, packed_hits, search
 
 
 def plan(df):
@@ -140,3 +140,18 @@ def test_feedback_analyzes_its_documents_only(spark, tmp_path):
     total = 4 + 0.5 * (3 * n + 10 + 6)
     assert found["that"] == round((1 + 0.5 * n) / total, 6) and found["x"] == round(5 / total, 6)
     assert len(found) == 10
+
+
+def test_frequencies_of_wanted_terms(spark, tmp_path):
+    """Before, expand_prf shuffled the statistics of every term of the corpus."""
+    rows = [(1, "a b a"), (2, "b c"), (3, None), (4, "c c d that was for")]
+    wanted = spark.createDataFrame([("b",), ("c",), ("b",), ("nope",)], "term string")
+    for texts in (rows, [*rows, (2, "b z"), (None, "c")]):
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        docs = tables.document_tokens(df, TokenizerConfig(filters=())).select("doc_id", "tokens", "doc_len")
+        every = {r.term: r.doc_freq for r in tables.document_stats(docs).collect()}
+        found = [tuple(r) for r in document_frequencies(docs, wanted).collect()]
+        assert sorted(found) == [(t, every[t]) for t in ("b", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    steps = plan(catalog.QUERIES["expand_prf"](spark, str(tmp_path))).split("MapInArrow")[0]
+    assert "LeftSemi" in steps[steps.rindex("partial_sum(doc_freq") :]  # wanted terms only reach the shuffle
